@@ -2,16 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sumweave.llm import common as C
+from sumweave.llm import decontaminate, mixing, near_dedup, quality, token_files
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.filtered(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five words, similarity 0.8)."""
+    return near_dedup.near_dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminated(docs, C.table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture uses them."""
+    return mixing.mixed(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mixture, read back: a row a document and copy."""
+    out = token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "copy", "shard", F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32")
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("source mix", source_mix), ("token files", token_output)]
+
+#: Sketches, alignment and encoding are beyond SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``."""
     docs = C.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = C.written(stage(spark, docs, sf_dir), name)
+        docs = C.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
