@@ -6,7 +6,11 @@ Words are the maximal runs of bytes outside 0x20 and 0x09-0x0D, so ``bytes.split
 
 from __future__ import annotations
 
+import array
+import itertools
+import json
 import os
+import re
 import tempfile
 import uuid
 
@@ -105,53 +109,85 @@ def batches(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
-class TokenCache(dict):
+#: A word of Latin letters with at most one mark behind it: one or two pre-tokens.
+PLAIN = re.compile(r"([a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]?)")
+
+
+def byte_letters() -> list[str]:
+    """The letter byte-level models write for each byte: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b if b in own else next(other)) for b in range(256)]
+
+
+class TokenCache:
     """Word -> its token ids as little-endian uint16 or uint32 bytes.
 
-    White space always separates pre-tokens in the tokenizers used here, so a text's ids are the
-    words' ids in a row. Words not seen before are encoded many at a time, joined by a special
-    token that marks their borders.
+    White space always separates pre-tokens in the tokenizer used here, so a text's ids are the
+    words' ids in a row. A new word of Latin letters is one pre-token and goes straight to the
+    library's BPE model; any others are encoded many at a time, joined by a special token that
+    marks their borders. At CACHE words the later-learnt ones (rare words, mostly) are forgotten.
     """
 
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.words: dict[bytes, bytes] = {}
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.sep, self.sep_id = separator, self.tok.token_to_id(separator)
+        self.letters = dict(enumerate(byte_letters()))
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        self.direct = kind["model"].get("end_of_word_suffix") == "</w>" and any(x["type"] == "Lowercase" for x in (kind["normalizer"] or {}).get("normalizers", []))
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > CACHE:
-            self.clear()
-        plain, odd = [], []
-        for w in words:
-            (odd if b"<|" in w else plain).append(w)
+        if len(self.words) + len(words) > CACHE:
+            self.words = dict(itertools.islice(self.words.items(), CACHE // 3))
+        one, marks, other = self.tok.model.tokenize, {}, []
+        for raw in words:
+            w = raw.decode("utf-8", "replace")
+            if self.direct and (m := PLAIN.fullmatch(w)):
+                body, mark = m[1].lower(), m[2]
+                body = body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)
+                ids = [x.id for x in one(body)]
+                if mark:
+                    if mark not in marks:
+                        marks[mark] = [x.id for x in one(mark)]
+                    ids += marks[mark]
+                self.words[raw] = array.array("H" if self.width == 2 else "I", ids).tobytes()
+            else:
+                other.append((raw, w))
+        plain = [x for x in other if "<|" not in x[1]]
         for a in range(0, len(plain), 2000):
             part = plain[a : a + 2000]
-            ids = np.array(self.tok.encode(self.sep.join(w.decode("utf-8", "replace") for w in part) + self.sep, add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(ids == self.sep_id)
-            raw, k, start = ids.tobytes(), self.width, 0
-            for w, e in zip(part, ends.tolist(), strict=True):
-                self[w] = raw[start * k : e * k]
+            ids = np.array(self.tok.encode(self.sep.join(w for _, w in part) + self.sep, add_special_tokens=False).ids, self.dtype)
+            data, k, start = ids.tobytes(), self.width, 0
+            for (raw, _), e in zip(part, np.flatnonzero(ids == self.sep_id).tolist(), strict=True):
+                self.words[raw] = data[start * k : e * k]
                 start = e + 1
-        for w in odd:
-            self[w] = np.array(self.tok.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+        for raw, w in other:
+            if "<|" in w:
+                self.words[raw] = np.array(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as bytes."""
         out: list[bytes] = []
         for a in range(0, len(texts), 64):
             split = [t.split() for t in texts[a : a + 64]]
-            new = set().union(*split)
-            if len(self) + len(new) > CACHE:
-                self.clear()
-            if new := new.difference(self):
-                self.learn(new)
-            out += [b"".join(map(self.__getitem__, w)) for w in split]
+            out += self.encode_split(split, set().union(*split))
         return out
 
+    def encode_split(self, split: list[list[bytes]], seen: set[bytes]) -> list[bytes]:
+        """The same for texts cut into words, ``seen`` being all of these."""
+        if len(self.words) + len(seen) > CACHE:
+            self.words = dict(itertools.islice(self.words.items(), CACHE // 3))
+        if new := seen.difference(self.words):
+            self.learn(new)
+        get = self.words.__getitem__
+        return [b"".join(map(get, w)) for w in split]
+
 
 _TOKENS: dict[str, TokenCache] = {}
 
