@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Entries a worker's caches hold before they start afresh (a memory bound; results don't depend on it).
 CACHE = 1_000_000
+#: Rows to an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> str:
     """The shared folder (``spark.checkpoint.dir``; a temporary one is set only where it is unset).
-    Also puts this repository on the Python path of workers on this machine."""
+    Also puts this repository on the Python path of workers on this machine, and has rows go to
+    them in batches small enough for long texts."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc.environment["PYTHONPATH"] = ROOT
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -126,12 +130,13 @@ class TokenCache:
     White space always separates pre-tokens in the tokenizer used here, so a text's ids are the
     words' ids in a row. A new word of Latin letters is one pre-token and goes straight to the
     library's BPE model; any others are encoded many at a time, joined by a special token that
-    marks their borders. At CACHE words the later-learnt ones (rare words, mostly) are forgotten.
+    marks their borders. At ``limit`` words the later-learnt ones (rare words, mostly) are forgotten.
     """
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>"):
+    def __init__(self, path: str, separator: str = "<|startoftext|>", limit: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.limit = limit
         self.words: dict[bytes, bytes] = {}
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
@@ -143,8 +148,8 @@ class TokenCache:
         self.direct = kind["model"].get("end_of_word_suffix") == "</w>" and any(x["type"] == "Lowercase" for x in (kind["normalizer"] or {}).get("normalizers", []))
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE:
-            self.words = dict(itertools.islice(self.words.items(), CACHE // 3))
+        if len(self.words) + len(words) > self.limit:
+            self.words = dict(itertools.islice(self.words.items(), self.limit // 3))
         one, marks, other = self.tok.model.tokenize, {}, []
         for raw in words:
             w = raw.decode("utf-8", "replace")
@@ -181,8 +186,8 @@ class TokenCache:
 
     def encode_split(self, split: list[list[bytes]], seen: set[bytes]) -> list[bytes]:
         """The same for texts cut into words, ``seen`` being all of these."""
-        if len(self.words) + len(seen) > CACHE:
-            self.words = dict(itertools.islice(self.words.items(), CACHE // 3))
+        if len(self.words) + len(seen) > self.limit:
+            self.words = dict(itertools.islice(self.words.items(), self.limit // 3))
         if new := seen.difference(self.words):
             self.learn(new)
         get = self.words.__getitem__
@@ -192,8 +197,14 @@ class TokenCache:
 _TOKENS: dict[str, TokenCache] = {}
 
 
-def token_cache(path: str) -> TokenCache:
+def forget() -> None:
+    """Give up this worker's caches, for passes that need their memory for something else."""
+    _WORDS.clear()
+    _TOKENS.clear()
+
+
+def token_cache(path: str, limit: int = CACHE) -> TokenCache:
     """The worker's cache for a tokenizer file; it lives as long as the worker."""
-    if path not in _TOKENS:
-        _TOKENS[path] = TokenCache(path)
+    if path not in _TOKENS or _TOKENS[path].limit != limit:
+        _TOKENS[path] = TokenCache(path, limit=limit)
     return _TOKENS[path]

@@ -19,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,11 @@ FOLDS, HELD_OUT = 7, 2
 #: Words whose counts are sent to every task.
 HEAD = 1 << 16
 #: Distinct words a task adds up before it hands them on.
-FLUSH = 400_000
+FLUSH = 200_000
+#: Words whose subword ids an encoding task remembers.
+CACHE = 500_000
+#: Words whose values a scoring task remembers.
+VALUES = 300_000
 #: Key of the end token; no word holds a blank.
 END = b" end"
 
@@ -47,6 +52,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def _hashes(words) -> np.ndarray:
+    """Hashes of words seen once or seldom: past the cache."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def _encode(tokenizer: str, end_id: int, vocab: int):
     def rows(kind: int, keys, counts):
         n = len(keys)
@@ -54,14 +64,15 @@ def _encode(tokenizer: str, end_id: int, vocab: int):
         return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.bool_()), none(pa.binary()), keys, counts], schema=CODES)
 
     def run(it):
-        tok = C.token_cache(tokenizer)
+        C._WORDS.clear()
+        tok = C.token_cache(tokenizer, CACHE)
         end = np.array([end_id], tok.dtype).tobytes()
         words: Counter = Counter()
         subwords = np.zeros(vocab, np.int64)
 
         def flush():
             k = list(words)
-            batch = rows(1, _signed(C.word_hashes(k)), pa.array(list(words.values()), pa.int64()))
+            batch = rows(1, _signed(_hashes(k)), pa.array(list(words.values()), pa.int64()))
             words.clear()
             return batch
 
@@ -96,6 +107,7 @@ def _sequences(b: pa.RecordBatch, cls: np.ndarray, dtype):
 
 def _train(start: np.ndarray, cls: np.ndarray, dtype: str):
     def run(it):
+        C.forget()
         t, held, size = A.Trainer(start), [], 0
         for b in it:
             for s in _sequences(b, cls, dtype):
@@ -114,6 +126,7 @@ def _train(start: np.ndarray, cls: np.ndarray, dtype: str):
 
 def _score(flat: np.ndarray, cls: np.ndarray, inside: np.ndarray, dtype: str):
     def run(it):
+        C.forget()
         model = A.Model(flat)
         for b in it:
             out = []
@@ -143,11 +156,12 @@ def _base(head: dict[int, float]):
 
         class Values(dict):
             def __missing__(self, word: bytes) -> float:
-                if len(self) >= C.CACHE:
+                if len(self) >= VALUES:
                     self.clear()
-                v = self[word] = head.get(C._WORDS[word], -1.0)
+                v = self[word] = head.get(xxhash.xxh64_intdigest(word), -1.0)
                 return v
 
+        C.forget()
         values, row = Values(), TaskContext.get().partitionId() << 36
         for b in it:
             cols: list[list] = [[] for _ in range(6)]
@@ -157,7 +171,7 @@ def _base(head: dict[int, float]):
                 w.append(END)
                 v = np.fromiter(map(values.__getitem__, w), np.float64, len(w))
                 known = v >= 0
-                rare, k = np.unique(C.word_hashes([w[i] for i in np.flatnonzero(~known).tolist()]), return_counts=True)
+                rare, k = np.unique(_hashes([w[i] for i in np.flatnonzero(~known).tolist()]), return_counts=True)
                 n = int(known.sum())
                 for c, x in zip(cols, (len(w), n, float(v[known].sum()), row, rare.view(np.int64), k.astype(np.int32)), strict=True):
                     c.append(x)
