@@ -31,8 +31,9 @@ from sumweave.llm.components import connected
 
 K = 32
 MIN_SHARED = 12
-#: Members to a block of a list.
-BLOCK = 192
+#: Shingles to a block of a list (bounds a task's memory), and members compared at once within it.
+BLOCK = 1_000_000
+TILE = 192
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 SKETCH_SQL = "doc_id long, n_shingles long, digest binary, sketch array<long>"
@@ -70,48 +71,62 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return float((counts[:k] == 2).sum()) / max(1, len(counts[:k]))
 
 
-def confirm(sets: list[np.ndarray], may: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (100 * intersection >= percent * union) among allowed pairs.
+def _hold(parts: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Which sets hold which of the sorted values."""
+    out = np.zeros((len(parts), len(values)), np.float32)
+    out[np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.searchsorted(values, np.concatenate(parts))] = 1
+    return out
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``a`` shares with each of ``b``."""
+    values = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    if not len(values):
+        return np.zeros((len(a), len(b)), np.int64)
+    a, b = ([x[np.isin(x, values)] for x in y] for y in (a, b))
+    return np.rint(_hold(a, values) @ _hold(b, values).T).astype(np.int64)
 
-    ``may``: boolean, upper triangle. Pairs whose union sketch holds too few shared values for any
-    chance of a link are left out; sets of at most K values are estimated exactly by it.
+
+def confirm(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None, before: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links (100 * intersection >= percent * union).
+
+    Left out are pairs of one side (their own block's task has them), pairs that share an earlier
+    list, pairs in one component already, pairs whose sizes rule a link out, and pairs whose union
+    sketch holds too few shared values for any chance of one. Works tile by tile.
     """
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    may = may & (100 * small >= percent * large)
-    if not may.any():
-        return []
-    parent, out = np.arange(m), []
-    if m > 8:
-        values = np.unique(np.concatenate([s[:K] for s in sets]), return_inverse=True)[1]
-        rows = np.repeat(np.arange(m), [min(K, len(s)) for s in sets])
-        hold = np.zeros((m, values.max() + 1), np.float32)
-        hold[rows, values] = 1
-        shared = hold @ hold.T
-        may &= shared >= np.minimum(MIN_SHARED, np.ceil(small * percent / 100))
-    a, b = np.nonzero(may)
-    total = int(sizes.sum())
-    inter = None
-    if len(a) > 400 and m * total < 60_000_000:
-        values = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        hold = np.zeros((m, values.max() + 1), np.float32)
-        hold[np.repeat(np.arange(m), sizes), values] = 1
-        inter = np.rint(hold @ hold.T).astype(np.int64)[a, b]
-        good = 100 * inter >= percent * (sizes[a] + sizes[b] - inter)
-        a, b = a[good], b[good]
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        rx, ry = _find(parent, x), _find(parent, y)
-        if rx == ry:
-            continue
-        if inter is None:
-            if m <= 8 and union_estimate(sets[x], sets[y]) * K < min(MIN_SHARED, percent / 100 * min(sizes[x], sizes[y])) - 1e-9:
-                continue
-            n = int(len(np.intersect1d(sets[x], sets[y], assume_unique=True)))
-            if 100 * n < percent * (sizes[x] + sizes[y] - n):
+    m, out = len(sets), []
+    sizes, parent = np.array([len(s) for s in sets], np.int64), np.arange(m)
+    for a0 in range(0, m, TILE):
+        for b0 in range(a0, m, TILE):
+            ia, ib = np.arange(a0, min(m, a0 + TILE)), np.arange(b0, min(m, b0 + TILE))
+            small, large = np.minimum.outer(sizes[ia], sizes[ib]), np.maximum.outer(sizes[ia], sizes[ib])
+            may = (100 * small >= percent * large) & (ia[:, None] < ib)
+            if sides is not None:
+                may &= sides[ia][:, None] != sides[ib]
+            roots = np.array([_find(parent, x) for x in range(m)]) if out else parent
+            may &= roots[ia][:, None] != roots[ib]
+            if not may.any():
                 continue
-        parent[max(rx, ry)] = min(rx, ry)
-        out.append((x, y))
+            if before is not None and m > 2:
+                may &= _shared([before[x] for x in ia], [before[x] for x in ib]) == 0
+            if may.sum() > 16:
+                may &= _shared([sets[x][:K] for x in ia], [sets[x][:K] for x in ib]) >= np.minimum(MIN_SHARED, np.ceil(small * percent / 100))
+            x, y = np.nonzero(may)
+            exact = None
+            if len(x) > 400 and len(ia) * int(sizes[ia].sum() + sizes[ib].sum()) < 60_000_000:
+                exact = _shared([sets[k] for k in ia], [sets[k] for k in ib])
+            for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                p, q = a0 + u, b0 + v
+                rp, rq = _find(parent, p), _find(parent, q)
+                if rp == rq:
+                    continue
+                if exact is None and len(x) <= 16 and union_estimate(sets[p], sets[q]) * K < min(MIN_SHARED, percent / 100 * min(sizes[p], sizes[q])) - 1e-9:
+                    continue
+                n = int(exact[u, v]) if exact is not None else len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if 100 * n < percent * (sizes[p] + sizes[q] - n):
+                    continue
+                parent[max(rp, rq)] = min(rp, rq)
+                out.append((p, q))
     return out
 
 
@@ -132,18 +147,8 @@ def _links(words: int, percent: int):
             if len(names) < 2:
                 return []
             sets, sides, lists = zip(*have.values(), strict=True)
-            m = len(names)
-            may = np.triu(np.ones((m, m), bool), 1)
-            if key[1] != key[2]:
-                may &= np.not_equal.outer(np.array(sides), np.array(sides))
-            if m > 2 or key[1] != key[2]:
-                before = [[x for x in own if x < key[0]] for own in lists]
-                if flat := [x for own in before for x in own]:
-                    values = np.unique(np.array(flat, np.int64), return_inverse=True)[1]
-                    hold = np.zeros((m, values.max() + 1), np.float32)
-                    hold[np.repeat(np.arange(m), [len(x) for x in before]), values] = 1
-                    may &= (hold @ hold.T) == 0
-            return [(names[x], names[y]) for x, y in confirm(list(sets), may, percent)]
+            before = [np.array([x for x in own if x < key[0]], np.int64) for own in lists]
+            return [(names[x], names[y]) for x, y in confirm(list(sets), percent, np.array(sides) if key[1] != key[2] else None, before)]
 
         for b in it:
             out = []
@@ -191,15 +196,15 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         .agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
         .withColumn("take", bound(F.col("n")) - (F.least("n", F.lit(K)) - F.size("own")))
         .where("take > 0")
-        .select("digest", F.explode(F.expr("slice(own, 1, cast(take as int))")).alias("p"))
-        .select("digest", F.col("p.value").alias("list"))
+        .select("digest", "n", F.explode(F.expr("slice(own, 1, cast(take as int))")).alias("p"))
+        .select("digest", "n", F.col("p.value").alias("list"))
     )
     rare = C.written(rare, "lists")
-    lists = rare.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(digest))").alias("x"), F.expr("bit_xor(xxhash64(digest, 1L))").alias("y")).where("size > 1")
-    lists = lists.groupBy("size", "x", "y").agg(F.min("list").alias("list")).select("list", "size")
+    lists = rare.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.expr("bit_xor(xxhash64(digest))").alias("x"), F.expr("bit_xor(xxhash64(digest, 1L))").alias("y")).where("size > 1")
+    lists = lists.groupBy("size", "total", "x", "y").agg(F.min("list").alias("list")).select("list", "total")
     member = C.written(rare.join(lists, "list"), "members")
     own = member.groupBy("digest").agg(F.sort_array(F.collect_list("list")).alias("lists"))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("total") / F.lit(BLOCK)).cast("int")
     work = (
         member.join(own, "digest")
         .join(sk.where("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep")), "digest")

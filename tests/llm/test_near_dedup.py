@@ -41,9 +41,10 @@ def test_sample_table(spark):
     assert got(N.near_groups(docs, 3, 85)) == brute(rows, 3, 85)
 
 
-@pytest.mark.parametrize("block", [N.BLOCK, 7])
+@pytest.mark.parametrize("block", [N.BLOCK, 700])
 def test_large_group_and_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "TILE", 16 if block == 700 else N.TILE)
     rnd = rng(3)
     base, passage = prose(rnd, 90), prose(rnd, 30)
     texts = [edited(rnd, base, rnd.randrange(4)) for _ in range(70)]
