@@ -1,8 +1,8 @@
 """Unsigned 64-bit semantics over Spark's signed BIGINT (bit patterns kept as is).
 
 Equality and join keys need nothing: equal bits are equal numbers. Ordered comparison with a
-constant splits on the sign bit, and sums are taken modulo 2**64 from two half-word sums, so no
-row is widened to a decimal and ANSI overflow cannot occur below 2**31 rows per group and half.
+constant splits on the sign bit, and sums are taken modulo 2**64 from sums of 16-bit pieces, so no
+row is widened to a decimal and ANSI overflow cannot occur below 2**47 rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 TOP = 1 << 63
 MOD = 1 << 64
+#: Bits to a piece of a sum: n rows' pieces stay below n * 2**PIECE.
+PIECE = 16
 
 
 def signed(value: int) -> int:
@@ -52,15 +54,20 @@ def unordered(col: Column) -> Column:
     return ordered(col)
 
 
-def sum_halves(col: Column) -> tuple[Column, Column]:
-    """The two aggregates :func:`sum_from_halves` puts together."""
-    return F.sum(F.shiftrightunsigned(col, 32)), F.sum(col.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+def sum_pieces(col: Column) -> list[Column]:
+    """The aggregates :func:`sum_from_pieces` puts together: one for each PIECE bits, lowest first."""
+    mask = F.lit((1 << PIECE) - 1).cast("bigint")
+    return [F.sum(F.shiftrightunsigned(col, k).bitwiseAND(mask)) for k in range(0, 64, PIECE)]
 
 
-def sum_from_halves(high: Column, low: Column) -> Column:
-    """DECIMAL(20,0): (high * 2**32 + low) mod 2**64; null for zero and for no rows."""
-    wide = lambda c: c.cast("decimal(38,0)")
-    total = F.pmod(wide(high) * F.lit(1 << 32).cast("decimal(11,0)") + wide(low), F.lit(str(MOD)).cast("decimal(20,0)"))
+def sum_from_pieces(pieces: list[Column]) -> Column:
+    """DECIMAL(20,0): the pieces' sums put in their places, mod 2**64; null for zero and for no rows."""
+    total = None
+    for k, p in enumerate(pieces):
+        # a sum below 2**63 in the highest place stays below 2**111, within DECIMAL(38,0)
+        part = (p.cast("decimal(19,0)") * F.lit(str(1 << PIECE * k)).cast("decimal(18,0)")).cast("decimal(38,0)")
+        total = part if total is None else (total + part).cast("decimal(38,0)")
+    total = F.pmod(total, F.lit(str(MOD)).cast("decimal(20,0)"))
     return F.nullif(total.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
 
 

@@ -62,10 +62,10 @@ def checksum(df: DataFrame, columns: Sequence[str], outputs: Sequence[int], resu
     bigint (the sum's bits)."""
     aggs = []
     for i, c in enumerate(columns):
-        hi, lo = u64.sum_halves(F.col(c))
-        aggs += [hi.alias(f"_h{i}"), lo.alias(f"_l{i}")]
+        aggs += [x.alias(f"_{i}_{k}") for k, x in enumerate(u64.sum_pieces(F.col(c)))]
     one = df.agg(*aggs)
-    final = [u64.sum_from_halves(F.col(f"_h{i}"), F.col(f"_l{i}")) for i in range(len(columns))]
+    pieces = range(len(aggs) // max(1, len(columns)))
+    final = [u64.sum_from_pieces([F.col(f"_{i}_{k}") for k in pieces]) for i in range(len(columns))]
     if result == "bigint":
         final = [u64.as_bigint(x) for x in final]
     return one.select([final[k].alias(f"s{i}") for i, k in enumerate(outputs)])
