@@ -73,7 +73,8 @@ def test_private_data(spark, docs):
     for r in rows:
         g = got[r["doc_id"]]
         assert (*(g[f"n_{k}"] for k in private_data.KINDS), g["base_sha256"]) == private_data.brute(r["text"])
-    assert private_data.base_spans("x 1.2.3.999 10.0.0.1.7 +1 (456) 555-2186 4111 1111-1111 1111 a@b.c@d.e") == [(0, 35 + 7, 35 + 12)] or True
+    t = "x 1.2.3.999 10.0.0.1.7 +1 (456) 555-2186 4111 1111-1111 1111 a@b.c@d.e"
+    assert private_data.base_spans(t) == [(0, t.index("a@"), t.index("@d")), (1, t.index("10."), t.index(".7"))]
     assert [(k, a) for k, a, _ in private_data.base_spans("10.0.0.1.7 9.9.9.999 4111 1111 1111 1111 4111 1111 1111 1112")] == [(1, 0)]
     assert private_data.passes("card", "4111 1111 1111 1111") and not private_data.passes("card", "4111 1111 1111 1112")
     texts = [f"filler {i} please pay with card number 4111 1111 1111 1111 now" if i % 2 else f"so pay with card number {'4012888888881881'} today" for i in range(4)]
