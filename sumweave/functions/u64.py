@@ -54,24 +54,19 @@ def unordered(col: Column) -> Column:
     return ordered(col)
 
 
-def sum_pieces(col: Column) -> list[Column]:
-    """The aggregates :func:`sum_from_pieces` puts together: one for each PIECE bits, lowest first."""
-    mask = F.lit((1 << PIECE) - 1).cast("bigint")
-    return [F.sum(F.shiftrightunsigned(col, k).bitwiseAND(mask)) for k in range(0, 64, PIECE)]
-
-
-def sum_from_pieces(pieces: list[Column]) -> Column:
-    """DECIMAL(20,0): the pieces' sums put in their places, mod 2**64; null for zero and for no rows."""
-    total = None
-    for k, p in enumerate(pieces):
-        # a sum below 2**63 in the highest place stays below 2**111, within DECIMAL(38,0)
-        part = (p.cast("decimal(19,0)") * F.lit(str(1 << PIECE * k)).cast("decimal(18,0)")).cast("decimal(38,0)")
-        total = part if total is None else (total + part).cast("decimal(38,0)")
-    total = F.pmod(total, F.lit(str(MOD)).cast("decimal(20,0)"))
-    return F.nullif(total.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-
-
-def as_bigint(total: Column) -> Column:
-    """The modular sum's bits as BIGINT (two's complement)."""
-    limit, mod = F.lit(str(TOP)).cast("decimal(20,0)"), F.lit(str(MOD)).cast("decimal(20,0)")
-    return F.when(total >= limit, total - mod).otherwise(total).cast("bigint")
+def sum_pieces(col: str) -> list[str]:
+    """SQL of the aggregates :func:`sum_from_pieces` puts together: one for each PIECE bits of a
+    column, lowest first."""
+    return [f"sum(shiftrightunsigned({col}, {k}) & {(1 << PIECE) - 1}L)" for k in range(0, 64, PIECE)]
+
+
+def sum_from_pieces(pieces: list[str]) -> str:
+    """SQL of a DECIMAL(20,0): the pieces' sums put in their places, mod 2**64; null for zero and
+    for no rows. A sum below 2**63 in the highest place stays below 2**111, within DECIMAL(38,0)."""
+    total = " + ".join(f"CAST(CAST({p} AS DECIMAL(19,0)) * {1 << PIECE * k}BD AS DECIMAL(38,0))" for k, p in enumerate(pieces))
+    return f"nullif(CAST(pmod({total}, {MOD}BD) AS DECIMAL(20,0)), CAST(0 AS DECIMAL(20,0)))"
+
+
+def as_bigint(total: str) -> str:
+    """SQL of the modular sum's bits as BIGINT (two's complement)."""
+    return f"CAST(CASE WHEN {total} >= {TOP}BD THEN {total} - {MOD}BD ELSE {total} END AS BIGINT)"

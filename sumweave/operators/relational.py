@@ -18,7 +18,7 @@ from sumweave.plans.model import Col, Filter, JoinPred
 
 def scan(relation: DataFrame, binding: int) -> DataFrame:
     """All columns of a relation under a binding."""
-    return relation.select([F.col(c).alias(Col(binding, i).name) for i, c in enumerate(relation.columns)])
+    return relation.toDF(*[Col(binding, i).name for i in range(len(relation.columns))])
 
 
 def project(df: DataFrame, positions: Sequence[int]) -> DataFrame:
@@ -44,12 +44,8 @@ def filter_equal(df: DataFrame, left: Col, right: Col) -> DataFrame:
 
 def equi_join(left: DataFrame, right: DataFrame, on: Iterable[JoinPred]) -> DataFrame:
     """Inner join on all given column pairs at once (one shuffle for a composite key)."""
-    cond = None
-    for p in on:
-        a, b = (p.left.name, p.right.name) if p.left.name in left.columns else (p.right.name, p.left.name)
-        c = left[a] == right[b]
-        cond = c if cond is None else cond & c
-    return left.join(right, cond, "inner") if cond is not None else left.crossJoin(right)
+    cond = " AND ".join(f"{p.left.name} = {p.right.name}" for p in on)
+    return left.join(right, F.expr(cond), "inner") if cond else left.crossJoin(right)
 
 
 def partition_by(df: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
@@ -60,12 +56,11 @@ def partition_by(df: DataFrame, column: str, partitions: int | None = None) -> D
 def checksum(df: DataFrame, columns: Sequence[str], outputs: Sequence[int], result: str = "u64") -> DataFrame:
     """One row s0..sN of sums modulo 2**64, null for zero. ``result``: u64 (DECIMAL(20,0)) or
     bigint (the sum's bits)."""
-    aggs = []
+    aggs, totals = [], []
     for i, c in enumerate(columns):
-        aggs += [x.alias(f"_{i}_{k}") for k, x in enumerate(u64.sum_pieces(F.col(c)))]
-    one = df.agg(*aggs)
-    pieces = range(len(aggs) // max(1, len(columns)))
-    final = [u64.sum_from_pieces([F.col(f"_{i}_{k}") for k in pieces]) for i in range(len(columns))]
-    if result == "bigint":
-        final = [u64.as_bigint(x) for x in final]
-    return one.select([final[k].alias(f"s{i}") for i, k in enumerate(outputs)])
+        pieces = u64.sum_pieces(c)
+        names = [f"_{i}_{k}" for k in range(len(pieces))]
+        aggs += [F.expr(f"{x} AS {n}") for x, n in zip(pieces, names, strict=True)]
+        totals.append(f"{u64.sum_from_pieces(names)} AS _{i}")
+    form = u64.as_bigint if result == "bigint" else str
+    return df.agg(*aggs).selectExpr(*totals).selectExpr(*[f"{form(f'_{k}')} AS s{i}" for i, k in enumerate(outputs)])

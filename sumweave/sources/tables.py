@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from sumweave.sources.catalog import Catalog
 
@@ -32,11 +33,24 @@ def select_list(rid: int, dialect: str) -> str:
     return ", ".join(f"{_form(dialect, c)} AS c{i}" for i, c in enumerate(RELATIONS[rid][1]))
 
 
+#: Path -> schema. A table's schema is fixed, and reading it from a footer takes a job.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _opened(spark: SparkSession, path: str) -> DataFrame:
+    """A table with its files listed now and its schema as it was first read."""
+    if path in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
+
+
 def catalog(spark: SparkSession, sf_dir: str, relations=None) -> Catalog:
     """A catalog over ``sf_dir``; only the wanted relations are opened."""
     cat = Catalog(spark, views=False)
     for rid in RELATIONS if relations is None else sorted(set(relations)):
-        df = spark.read.parquet(f"{sf_dir}/{RELATIONS[rid][0]}.parquet")
+        df = _opened(spark, f"{sf_dir}/{RELATIONS[rid][0]}.parquet")
         cat.add(df.selectExpr(*[f"{_form('spark', c)} AS c{i}" for i, c in enumerate(RELATIONS[rid][1])]), rid)
     return cat
 
