@@ -7,8 +7,9 @@ The weights are then realised as budgeted block permutations: a source's documen
 blocks of bounded size by hash; each epoch passes through all blocks in an order of its own, and
 the last, partial epoch stops where the source's token quota is used up.
 
-Prefix sums have two levels (blocks of a source, documents of the one block where a quota ends),
-so no task sees a whole source's documents.
+Prefix sums have three levels (lanes of an epoch, which are ranges of its order and fixed in number;
+blocks of a lane; documents of the one block where a quota ends), so no task sees a whole source's
+documents or blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from sumweave.llm import common as C
 
 #: Documents to a block, about.
 BLOCK_DOCS = 500
+#: An epoch's order is cut into 2 ** LANE_BITS lanes.
+LANE_BITS = 12
 #: Candidates for the exponent tried by one job, and rounds of them: 16 ** 8 > 2 ** 31 steps.
 CANDIDATES, ROUNDS = 16, 8
 WORDS = r"[\x20\x09-\x0D]+"
@@ -98,9 +101,13 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.9, max_repeats: float
     dealt = C.written(dealt.drop("n_docs"), "dealt")
 
     blocks = dealt.groupBy("key", "block").agg(F.sum("n_tokens").alias("size"), F.first("full").alias("full"), F.first("rest").alias("rest"), F.first("quota").alias("quota"), F.first("total").alias("total"))
-    epochs = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))).withColumn("turn", F.xxhash64("key", "block", "epoch", F.lit(seed)))
-    before = F.sum("size").over(Window.partitionBy("key", "epoch").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1))
-    epochs = epochs.withColumn("before", F.coalesce(before, F.lit(0)))
+    blocks = C.written(blocks, "blocks")
+    turn = F.xxhash64("key", "block", "epoch", F.lit(seed))
+    epochs = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))).withColumn("turn", turn).withColumn("lane", F.shiftright("turn", 64 - LANE_BITS))
+    lane = Window.partitionBy("key", "epoch").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = epochs.groupBy("key", "epoch", "lane").agg(F.sum("size").alias("n")).select("key", "epoch", "lane", F.coalesce(F.sum("n").over(lane), F.lit(0)).alias("lane_before"))
+    within = F.sum("size").over(Window.partitionBy("key", "epoch", "lane").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1))
+    epochs = epochs.withColumn("within", F.coalesce(within, F.lit(0))).join(lanes, ["key", "epoch", "lane"]).withColumn("before", F.col("lane_before") + F.col("within"))
     state = F.when(F.col("epoch") < F.col("full"), "whole").when(F.col("before") + F.col("size") <= F.col("rest"), "whole").when(F.col("before") < F.col("rest"), "cut")
     at = (F.col("epoch") * F.col("total") + F.col("before")) / F.greatest(F.col("quota"), F.lit(1))
     epochs = epochs.withColumn("state", state).where((F.col("state").isNotNull()) & ((F.col("epoch") < F.col("full")) | (F.col("rest") > 0)))
