@@ -24,8 +24,8 @@ RARE_DOCS, RARE_SHARE = 20, 0.0005
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score of a leak, as a share of the item's with itself.
 SCORE = 0.5
-#: Items to a block.
-ITEMS = 20_000
+#: Items and characters to a block (a longer item is a block of its own).
+ITEMS, CHARS = 20_000, 16_000_000
 
 HITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 HITS_SQL = "doc_id long, text_hash long, item_id long, score double, first_word long, last_word long"
@@ -153,6 +153,18 @@ def _align(items: Items, use: np.ndarray, score: float):
     return run
 
 
+def _block(rows: DataFrame, items: Items, score: float) -> DataFrame:
+    """The leaks of one block of items, by two passes over the corpus."""
+    counts, total = np.zeros(len(items.seeds), np.int64), 0
+    for s, n in rows.select("text").mapInArrow(_count(items), "seed long, n long").groupBy("seed").agg(F.sum("n")).collect():
+        if s < 0:
+            total = n
+        else:
+            counts[s] = n
+    use = items.rare(counts, max(RARE_DOCS, RARE_SHARE * total))
+    return C.written(rows.mapInArrow(_align(items, use, score), HITS_SQL), "leaks")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """doc_id, text_hash, item_id, score, first_word, last_word for each item a document holds.
 
@@ -163,23 +175,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFr
     spark = docs.sparkSession
     C.prepare(spark)
     rows = C.id_text(docs, F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    out, block = None, []
+    out, block, chars = None, [], 0
     source = itertools.chain(benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator(), [None])
     for r in source:
+        size = len(r[1] or "") if r is not None else 0
+        full = len(block) >= ITEMS or bool(block) and chars + size > CHARS
+        if full or r is None and (block or out is None):
+            found = _block(rows, Items(block), score)
+            out, block, chars = found if out is None else out.unionByName(found), [], 0
         if r is not None:
             block.append((r[0], r[1]))
-        if len(block) >= ITEMS or r is None and (block or out is None):
-            items = Items(block)
-            counts = np.zeros(len(items.seeds), np.int64)
-            total = 0
-            for s, n in rows.select("text").mapInArrow(_count(items), "seed long, n long").groupBy("seed").agg(F.sum("n")).collect():
-                if s < 0:
-                    total = n
-                else:
-                    counts[s] = n
-            use = items.rare(counts, max(RARE_DOCS, RARE_SHARE * total))
-            found = C.written(rows.mapInArrow(_align(items, use, score), HITS_SQL), "leaks")
-            out, block = found if out is None else out.unionByName(found), []
+            chars += size
     return out
 
 
