@@ -9,7 +9,8 @@ becomes good by the good patterns it stands in. Instances that end above the lim
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
 import re
 
 import pyarrow as pa
@@ -27,9 +28,14 @@ BASE = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The ip expression with starts inside a run of digits left out: where the run's first digit fails, so
+#: do the others, and a match takes its last run whole. Long runs are then read once.
+_IP = re.compile(r"(?<![0-9])" + BASE["ip"].pattern)
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: Shapes of what the base rules may have missed, by kind.
 SHAPES = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at )[ ]?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]| dot ) ?)[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at )[ ]?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]| dot ) ?)[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
@@ -60,23 +66,43 @@ def passes(kind: str, text: str) -> bool:
     return kind == "email" or 8 <= len(digits) <= 15
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """The email expression's matches, found from each @ outwards: a text is read once, however long
+    its runs of letters are."""
+    out, low, at = [], 0, text.find("@")
+    while at >= 0:
+        part = text[low:at]
+        start = low + len(part.rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end()))
+        low = m.end() if m else at + 1
+        at = text.find("@", low)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end), by kind and start."""
-    out = []
-    for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
+    out = [(0, a, b) for a, b in emails(text)]
+    for k, (kind, found) in enumerate((("ip", _IP), ("card", BASE["card"]), ("phone", BASE["phone"])), 1):
+        if kind == "phone" and "+" not in text:
             continue
-        out += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if passes(kind, m[0])]
+        out += [(k, m.start(), m.end()) for m in found.finditer(text) if passes(kind, m[0])]
     return out
 
 
 def missed(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Strings of an identifier's shape that touch no base span."""
+    spans = sorted((a, b) for _, a, b in taken)
+    starts, ends = [a for a, _ in spans], list(itertools.accumulate((b for _, b in spans), max))
     out = []
     for k, kind in enumerate(KINDS):
         if kind == "email" and "at" not in text:
             continue
-        out += [(k, m.start(), m.end()) for m in SHAPES[kind].finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in taken)]
+        for m in SHAPES[kind].finditer(text):
+            before = bisect.bisect_left(starts, m.end())
+            if not before or ends[before - 1] <= m.start():
+                out.append((k, m.start(), m.end()))
     return out
 
 
@@ -160,9 +186,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = find(C.table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda o: o["seed"] == 1)
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
-
-
-def brute(text: str | None) -> tuple:
-    """The base columns of one text, for tests."""
-    s = base_spans(text or "")
-    return *(sum(k == x for x, _, _ in s) for k in range(4)), hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in s).encode()).hexdigest()

@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on odd and empty tables."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -66,13 +67,35 @@ def test_token_counts(spark, docs):
     assert sorted((r["doc_id"], r["n_edits"], r["n_chars_edited"]) for r in got.collect()) == [(0, 0, 7), (1, 2, 5)]
 
 
+def plain_private(text):
+    """Base counts and hash by the expressions as they stand."""
+    spans = []
+    for k in private_data.KINDS:
+        spans += [(k, m.start(), m.end()) for m in private_data.BASE[k].finditer(text or "") if private_data.passes(k, m[0])]
+    return *(sum(k == x for x, _, _ in spans) for k in private_data.KINDS), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_private_base():
+    rnd = rng(12)
+    for alphabet in ("a.@-_ ", "ab@.c@%é\n", "0123.9 -", "1+2. ()-", "4 -0+.@a"):
+        for _ in range(400):
+            t = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 60)))
+            spans = private_data.base_spans(t)
+            got = *(sum(k == x for x, _, _ in spans) for k in range(4)), hashlib.sha256(",".join(f"{private_data.KINDS[k]}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+            assert got == plain_private(t), t
+            missed = [(k, m.start(), m.end()) for k, kind in enumerate(private_data.KINDS) for m in private_data.SHAPES[kind].finditer(t)]
+            assert private_data.missed(t, spans) == [x for x in missed if not any(a < x[2] and x[1] < b for _, a, b in spans)]
+    for long in ("7" * 500_000, "a" * 500_000 + " at", "a" * 500_000 + "@b", "1.2." * 100_000, "x@y " * 100_000):  # each read once
+        assert not [s for s in private_data.base_spans(long) if s[0] != 1] and private_data.missed(long, []) is not None
+
+
 def test_private_data(spark, docs):
     got = {r["doc_id"]: r for r in registry.QUERIES["op3_private_data"](spark, SF).collect()}
     rows = docs.collect()
     assert len(got) == len(rows)
     for r in rows:
         g = got[r["doc_id"]]
-        assert (*(g[f"n_{k}"] for k in private_data.KINDS), g["base_sha256"]) == private_data.brute(r["text"])
+        assert (*(g[f"n_{k}"] for k in private_data.KINDS), g["base_sha256"]) == plain_private(r["text"])
     t = "x 1.2.3.999 10.0.0.1.7 +1 (456) 555-2186 4111 1111-1111 1111 a@b.c@d.e"
     assert private_data.base_spans(t) == [(0, t.index("a@"), t.index("@d")), (1, t.index("10."), t.index(".7"))]
     assert [(k, a) for k, a, _ in private_data.base_spans("10.0.0.1.7 9.9.9.999 4111 1111 1111 1111 4111 1111 1111 1112")] == [(1, 0)]
