@@ -107,23 +107,39 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, ke
 
 
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """``docs`` without their frequent lines' words: doc_id and the text of the lines that stay."""
+    """A row a document: doc_id, source, text without its host's frequent lines.
+
+    Lines without words stay. A document that loses all its lines has an empty text, a null text
+    stays null. Rows that repeat a doc_id come out each, as they would alone. Other columns are
+    ignored; an empty table gives no rows.
+    """
     C.prepare(docs.sparkSession)
     rows = C.id_text(docs, F.col("source").cast("string").alias("host"))
-    m = rows.mapInArrow(_measures, MEASURES_SQL)
-    often = C.written(frequent_lines(m, min_docs, share), "lines")
-    lines = rows.select("doc_id", "host", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    hashed = lines.mapInArrow(_line_hashes, "doc_id long, host string, key long, at int, line string, h long")
-    stay = hashed.join(often.select(F.col("host").alias("_host"), F.col("line").alias("_line"), "first"), (F.col("h") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host")), "left")
-    stay = stay.where(F.col("_line").isNull() | F.col("doc_id").eqNullSafe(F.col("first")))
-    return stay.groupBy("doc_id", "host", "key").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l")).select("doc_id", F.col("host").alias("source"), F.array_join(F.col("l.line"), "\n").alias("text"))
+    m = C.written(rows.mapInArrow(_measures, MEASURES_SQL), "measures")
+    often = C.written(frequent_lines(m, min_docs, share), "lines").select(F.col("host").alias("_host"), "line", "first")
+    lines = m.select("doc_id", "host", "digest", F.explode("lines").alias("line")).distinct()
+    gone = lines.join(often.withColumnRenamed("line", "_line"), (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("digest").alias("_digest")).agg(F.collect_list("line").alias("gone"))
+    marked = rows.mapInArrow(_digests, "doc_id long, text string, host string, digest long")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("host").eqNullSafe(F.col("_host")) & (F.col("digest") == F.col("_digest"))
+    return marked.join(gone, same, "left").select("doc_id", F.col("host").alias("source"), "text", "gone").mapInArrow(_strip, "doc_id long, source string, text string")
+
+
+def _digests(it):
+    for b in it:
+        digest = pa.array([_long(xxhash.xxh64_intdigest(t)) for t in C.raw_texts(b)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns, digest], names=["doc_id", "text", "host", "digest"])
 
 
-def _line_hashes(it):
+def _strip(it):
     for b in it:
-        split = [x.split() for x in C.raw_texts(b, "line")]
-        h = [_long(xxhash.xxh64_intdigest(normal_line(w))) if w else None for w in split]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], names=[*b.schema.names, "h"])
+        texts = b.column("text").to_pylist()
+        for i, gone in enumerate(b.column("gone").to_pylist()):
+            if gone:
+                off = set(gone)
+                split = [(x, x.encode().split()) for x in texts[i].split("\n")]
+                texts[i] = "\n".join(x for x, w in split if not w or _long(xxhash.xxh64_intdigest(normal_line(w))) not in off)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(texts, pa.string())], names=["doc_id", "source", "text"])
 
 
 def filtered(docs: DataFrame, **limits) -> DataFrame:

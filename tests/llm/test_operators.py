@@ -129,7 +129,11 @@ def test_quality(spark):
     assert quality.verdicts(odd_docs(spark)).count() == 11 and got[1]["base_failed"] and got[6]["n_words"] == 60_000
     assert quality.verdicts(empty_docs(spark)).count() == 0
     clean = {r["doc_id"]: r["text"] for r in quality.cleaned(spark.createDataFrame(rows, DOCS), min_docs=10, share=0.01).collect()}
-    assert clean[0].startswith(line) and not clean[1].startswith(line)
+    assert clean[0] == texts[0] and clean[1] == texts[1].split("\n")[1] and clean[30] == "and a few more words"
+    again = quality.cleaned(spark.createDataFrame(rows + [rows[1], (50, None, "en", "h", 1), (51, line, "en", "h", 1), (52, f" \n{line}\n\nz", "en", None, 1)], DOCS), min_docs=10, share=0.01)
+    many = collections.Counter((r["doc_id"], r["text"]) for r in again.collect())
+    assert many[1, clean[1]] == 2 and many[50, None] == many[51, ""] == many[52, f" \n{line}\n\nz"] == 1 and sum(many.values()) == len(rows) + 4
+    assert quality.cleaned(odd_docs(spark)).count() == 11 and quality.cleaned(empty_docs(spark)).count() == 0
     assert quality.filtered(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
@@ -245,6 +249,13 @@ def test_lm_base(spark, docs):
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[d], len(t), sum(w in c for w in t), n)
         assert abs(g["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6 * len(t)
         assert g["score"] < 0
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD)
+    ids = {r[0]: [*tok.encode(r[1] or "", add_special_tokens=False).ids, 49407] for r in rows}
+    freq = np.bincount([i for d, x in ids.items() if not held[d] for i in x], minlength=tok.get_vocab_size()) + 0.5
+    alone = sum(math.log10(freq[i] / freq.sum()) for d, x in ids.items() if held[d] for i in x)
+    assert sum(g["score"] for g in got.values() if g["held_out"]) > alone  # context helps on texts not learnt from
     odd = lm_score.scores(odd_docs(spark), WORD, 49407).collect()
     assert len(odd) == 11 and all(math.isfinite(r["score"]) for r in odd)
     assert lm_score.scores(empty_docs(spark), WORD, 49407).count() == 0
