@@ -1,14 +1,20 @@
-"""A small causal self-attention model in numpy over classes of subword ids.
+"""A small causal self-attention model in numpy over subword ids.
 
-Subwords are dealt into classes of about equal frequency; the model predicts the next class, and
-a subword's probability within its class is its share of the class's count. One attention head
-with relative position biases reads up to 12 class embeddings; with keys and queries that depend on the class
-alone, all scores are in one class-by-class table. Windows of 12 inputs overlap by 4: the last 8
-positions of a window are its targets, so each token is predicted once, with the 4 to 11 inputs before its own at hand.
+Each subword has its own query, key, value and residual vectors, added to those of its class (subwords
+are dealt into classes of about equal frequency), so rare subwords start from their class. The
+output is factored exactly: a softmax over the classes, then a Huffman tree over the subwords of
+the class, each node a logistic choice by the context; a text's probability depends on every
+subword of the context and of the output. One attention head with relative position biases.
+Windows of 12 inputs overlap by 4: the last 8 positions of a window are its targets, so each token
+is predicted once, with the 4 to 11 inputs before its own at hand.
+
+``Model`` is the class part alone; ``Subwords`` has the subwords' own vectors and trees on top.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 CLASSES, DIM, STRIDE, BACK = 32, 8, 8, 4
@@ -18,6 +24,8 @@ INPUTS = CLASSES + 2
 #: Windows to a step of training and to a chunk of scoring.
 BATCH = 1024
 RATE, BETA1, BETA2 = 0.02, 0.9, 0.98
+#: Adagrad's rate for the subwords' own vectors and tree nodes.
+OWN_RATE = 0.1
 
 SHAPES = {"q": (INPUTS, DIM), "k": (INPUTS, DIM), "v": (INPUTS, DIM), "r": (INPUTS, DIM), "b": (WINDOW,), "o": (DIM, CLASSES), "c": (CLASSES,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -57,16 +65,16 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cls, np.log((counts + 0.5) / total[cls]), total / total.sum()
 
 
-def windows(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs [n, WINDOW], targets [n, STRIDE] with PAD behind the end, sequence of each window)."""
+def windows(seqs: list[np.ndarray], bos: int = BOS, pad: int = PAD, dtype=np.uint8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs [n, WINDOW], targets [n, STRIDE] with ``pad`` behind the end, sequence of each window)."""
     counts = [-(-len(s) // STRIDE) for s in seqs]
     n = sum(counts)
-    buf = np.full(n * STRIDE + len(seqs) * BACK, PAD, np.uint8)
-    tgt = np.full(n * STRIDE, PAD, np.uint8)
+    buf = np.full(n * STRIDE + len(seqs) * BACK, pad, dtype)
+    tgt = np.full(n * STRIDE, pad, dtype)
     starts = np.empty(n, np.int64)
     at, w = 0, 0
     for s, c in zip(seqs, counts, strict=True):
-        buf[at + BACK] = BOS
+        buf[at + BACK] = bos
         buf[at + BACK + 1 : at + BACK + len(s)] = s[:-1]
         tgt[w * STRIDE : w * STRIDE + len(s)] = s
         starts[w : w + c] = at + STRIDE * np.arange(c)
@@ -153,10 +161,174 @@ class Trainer:
 
     def learn(self, x: np.ndarray, y: np.ndarray) -> None:
         for i in range(0, len(x), BATCH):
-            g = self.model.gradient(x[i : i + BATCH], y[i : i + BATCH])
-            self.n += 1
-            self.m += (1 - BETA1) * (g - self.m)
-            self.v += (1 - BETA2) * (g * g - self.v)
-            rate = RATE / (1 + self.n / 100) ** 0.5
-            self.model.flat -= rate * (self.m / (1 - BETA1**self.n)) / (np.sqrt(self.v / (1 - BETA2**self.n)) + 1e-8)
+            self.step(self.model.gradient(x[i : i + BATCH], y[i : i + BATCH]))
         self.tokens += int((y < CLASSES).sum())
+
+    def step(self, g: np.ndarray) -> None:
+        self.n += 1
+        self.m += (1 - BETA1) * (g - self.m)
+        self.v += (1 - BETA2) * (g * g - self.v)
+        rate = RATE / (1 + self.n / 100) ** 0.5
+        self.model.flat -= rate * (self.m / (1 - BETA1**self.n)) / (np.sqrt(self.v / (1 - BETA2**self.n)) + 1e-8)
+
+
+class Tree:
+    """The classes of a vocabulary and a Huffman tree over each one's subwords.
+
+    A subword's path is ``node[ptr[i]:ptr[i + 1]]`` with the sides taken (1 or -1) in ``side``;
+    ``bias`` makes each node choose by the counts alone at the start.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        own, _, self.share = classes_of(counts)
+        self.vocab = len(counts)
+        self.cls = np.append(own, [BOS, PAD]).astype(np.int64)
+        nodes, paths = 0, [()] * self.vocab
+        bias: list[float] = []
+        for c in range(CLASSES):
+            heap: list[tuple] = [(float(counts[i]) + 0.5, k, i) for k, i in enumerate(np.flatnonzero(own == c).tolist())]
+            heapq.heapify(heap)
+            order = len(heap)
+            while len(heap) > 1:
+                a, b = heapq.heappop(heap), heapq.heappop(heap)
+                heapq.heappush(heap, (a[0] + b[0], order, (nodes, a[2], b[2])))
+                bias.append(float(np.log(a[0] / b[0])))
+                order, nodes = order + 1, nodes + 1
+            todo = [(heap[0][2], ())] if heap else []
+            while todo:
+                at, path = todo.pop()
+                if isinstance(at, tuple):
+                    todo += [(at[1], (*path, (at[0], 1))), (at[2], (*path, (at[0], -1)))]
+                else:
+                    paths[at] = path
+        self.bias = np.array(bias, np.float32)
+        self.size = np.array([len(p) for p in paths], np.int64)
+        self.ptr = np.append(0, np.cumsum(self.size))
+        flat = np.array([x for p in paths for x in p], np.int32).reshape(-1, 2)
+        self.node, self.side = np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.int8)
+
+    def steps(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in t, node, side) of every step of the paths to the subwords t."""
+        size = self.size[t]
+        place = np.repeat(np.arange(len(t)), size)
+        at = np.arange(len(place)) + np.repeat(self.ptr[t] - (np.cumsum(size) - size), size)
+        return place, self.node[at], self.side[at].astype(np.float32)
+
+
+def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values [m, k] by row number."""
+    out = np.empty((n, values.shape[1]), np.float32)
+    for j in range(values.shape[1]):
+        out[:, j] = np.bincount(rows, values[:, j], n)
+    return out
+
+
+class Subwords(Model):
+    """The model over subword ids; ``own`` holds each one's q, k, v, r beside its class's, ``nodes`` each node's vector and bias."""
+
+    def __init__(self, flat: np.ndarray, tree: Tree, own: np.ndarray | None = None, nodes: np.ndarray | None = None):
+        super().__init__(flat)
+        self.tree, self.bos, self.pad = tree, tree.vocab, tree.vocab + 1
+        self.own = np.zeros((tree.vocab + 2, 4 * DIM), np.float32) if own is None else np.array(own, np.float32)
+        self.nodes = np.column_stack([np.zeros((len(tree.bias), DIM), np.float32), tree.bias]) if nodes is None else np.array(nodes, np.float32)
+        self._rank = np.zeros(max(tree.vocab + 2, len(tree.bias)), np.int64)
+        self._mark = np.zeros(len(self._rank), bool)
+
+    def windows(self, seqs: list[np.ndarray]):
+        return windows(seqs, self.bos, self.pad, np.int32)
+
+    def distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct values, places in them)."""
+        self._mark[x] = True
+        u = np.flatnonzero(self._mark)
+        self._mark[u] = False
+        self._rank[u] = np.arange(len(u))
+        return u, self._rank[x]
+
+    def context(self, x: np.ndarray):
+        """The state before the output for each target place, and what the gradient needs of the way there."""
+        used, at = self.distinct(x)
+        c = self.tree.cls[used]
+        g = (np.hstack([self.p[name][c] for name in "qkvr"]) + self.own[used])[at]
+        q, k, v, r = g[:, BACK:, :DIM], np.ascontiguousarray(g[:, :, DIM : 2 * DIM]), np.ascontiguousarray(g[:, :, 2 * DIM : 3 * DIM]), g[:, BACK:, 3 * DIM :]
+        q = np.ascontiguousarray(q) / np.float32(np.sqrt(DIM))
+        a = np.exp(np.clip(q @ k.transpose(0, 2, 1), -15, 15))
+        a *= np.where(_CAUSAL, np.exp(np.clip(self.p["b"], -15, 15))[_OFFSET], 0).astype(np.float32)
+        a *= (x != self.pad)[:, None, :]
+        a /= np.maximum(a.sum(2, keepdims=True), 1e-20)
+        ctx = a @ v
+        return used, at, q, k, v, a, ctx, np.tanh(ctx + r).reshape(-1, DIM)
+
+    def output(self, h: np.ndarray, t: np.ndarray):
+        """Log probabilities of subwords t after states h, and what the gradient needs."""
+        logits = h @ self.p["o"] + self.p["c"]
+        place, node, side = self.tree.steps(t)
+        w, hp = self.nodes[node], h[place]
+        z = side * (np.einsum("ij,ij->i", w[:, :DIM], hp) + w[:, DIM])
+        inside = np.bincount(place, -np.logaddexp(np.float32(0), -z), len(t))
+        e = np.exp(logits)
+        total = e.sum(1)
+        return logits[np.arange(len(t)), self.tree.cls[t]] - np.log(total) + inside, e / total[:, None], place, node, side, w, hp, z
+
+    def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(y.size, np.float64)
+        for i in range(0, len(x), BATCH):
+            t = y[i : i + BATCH].ravel()
+            real = np.flatnonzero(t != self.pad)
+            h = self.context(x[i : i + BATCH])[-1]
+            out[i * STRIDE + real] = self.output(h[real], t[real])[0]
+        return out.reshape(y.shape)
+
+    def gradients(self, x: np.ndarray, y: np.ndarray):
+        """The mean loss's gradient over one batch: of the class part, (subwords, rows, times read) and (nodes, rows, times)."""
+        used, at, q, k, v, a, ctx, h = self.context(x)
+        t = y.ravel()
+        real = np.flatnonzero(t != self.pad)
+        n = max(1, len(real))
+        t, hr = t[real], h[real]
+        _, d, place, node, side, w, hp, z = self.output(hr, t)
+        d[np.arange(len(t)), self.tree.cls[t]] -= 1
+        d /= n
+        s = -side / (1 + np.exp(np.clip(z, -30, 30))) / n
+        nodes, na = self.distinct(node)
+        by_node = np.column_stack([_sums(na, hp * s[:, None], len(nodes)), np.bincount(na, s, len(nodes))]).astype(np.float32)
+        grad = np.zeros(SIZE, np.float32)
+        g = unpack(grad)
+        g["o"][:] = hr.T @ d
+        g["c"][:] = d.sum(0)
+        dh = d @ self.p["o"].T + _sums(place, w[:, :DIM] * s[:, None], len(t))
+        du = np.zeros_like(h)
+        du[real] = dh * (1 - hr * hr)
+        du3 = du.reshape(len(x), STRIDE, DIM)
+        ds = du3 @ v.transpose(0, 2, 1)
+        ds -= (du3 * ctx).sum(2, keepdims=True)
+        ds *= a
+        g["b"][:] = np.bincount(_OFFSET.ravel(), np.where(_CAUSAL, ds.sum(0), 0).ravel(), WINDOW)
+        qa, xa, m = at[:, BACK:].ravel(), at.ravel(), len(used)
+        rows = np.hstack([_sums(qa, (ds @ k).reshape(-1, DIM) / np.float32(np.sqrt(DIM)), m), _sums(xa, (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM), m), _sums(xa, (a.transpose(0, 2, 1) @ du3).reshape(-1, DIM), m), _sums(qa, du, m)])
+        by_class = _sums(self.tree.cls[used], rows, INPUTS)
+        for i, name in enumerate("qkvr"):
+            g[name][:] = by_class[:, i * DIM : (i + 1) * DIM]
+        return grad, (used, rows, np.bincount(xa, minlength=m)), (nodes, by_node, np.bincount(na, minlength=len(nodes)))
+
+
+class SubwordTrainer(Trainer):
+    """Adam for the class part, Adagrad for the rows of subwords and nodes a batch touches; ``seen``
+    counts how often each was, the weight of its row in the mean over trainers."""
+
+    def __init__(self, flat: np.ndarray, tree: Tree):
+        super().__init__(flat)
+        self.model = Subwords(flat, tree)
+        self.seen = [np.zeros(len(x), np.int64) for x in (self.model.own, self.model.nodes)]
+        self._squares = [np.full_like(x, 1e-12) for x in (self.model.own, self.model.nodes)]
+
+    def learn(self, x: np.ndarray, y: np.ndarray) -> None:
+        for i in range(0, len(x), BATCH):
+            g, *sparse = self.model.gradients(x[i : i + BATCH], y[i : i + BATCH])
+            self.step(g)
+            for table, squares, seen, (rows, d, times) in zip((self.model.own, self.model.nodes), self._squares, self.seen, sparse, strict=True):
+                q = squares[rows] + d * d
+                squares[rows] = q
+                table[rows] -= OWN_RATE * d / np.sqrt(q)
+                seen[rows] += times
+        self.tokens += int((y != self.model.pad).sum())

@@ -7,7 +7,8 @@ document is scored. Three passes:
 1. encode: subword ids to a table in the shared folder, with the training documents' word and
    subword counts (added up in each task first, then by Spark);
 2. train: every task trains on all windows of its documents from the same start; the parameters'
-   mean, weighted by tokens, is the model (one round of model averaging);
+   mean is the model (one round of model averaging): weighted by tokens, a subword's and a tree
+   node's own rows by how often the task met them;
 3. score: overlapping windows by the trained model; words by the counts. The HEAD most frequent
    words' counts go to the tasks (a fixed number of them); all other words meet their counts in a join.
 """
@@ -35,6 +36,8 @@ FLUSH = 200_000
 CACHE = 500_000
 #: Words whose values a scoring task remembers.
 VALUES = 300_000
+#: Subwords or tree nodes to a part of the averaged model, and partitions that average them.
+PART, PARTS = 4096, 8
 #: Key of the end token; no word holds a blank.
 END = b" end"
 
@@ -101,33 +104,67 @@ def _encode(tokenizer: str, end_id: int, vocab: int):
     return run
 
 
-def _sequences(b: pa.RecordBatch, cls: np.ndarray, dtype):
-    return [cls[np.frombuffer(x, dtype)] for x in b.column("ids").to_pylist()]
+MEANS_SQL = "part int, rows binary, weights binary, x binary"
 
 
-def _train(start: np.ndarray, cls: np.ndarray, dtype: str):
+def _means(parts) -> pa.RecordBatch:
+    """Rows (part, row numbers, their weights, their values) as a batch."""
+    part, rows, weights, x = zip(*parts, strict=True)
+    data = [[np.ascontiguousarray(v, t).tobytes() for v in c] for c, t in ((rows, np.int32), (weights, np.float64), (x, np.float32))]
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[pa.array(c, pa.binary()) for c in data]], names=["part", "rows", "weights", "x"])
+
+
+def _train(start: np.ndarray, tree: A.Tree, dtype: str):
     def run(it):
         C.forget()
-        t, held, size = A.Trainer(start), [], 0
+        t, held, size = A.SubwordTrainer(start, tree), [], 0
         for b in it:
-            for s in _sequences(b, cls, dtype):
+            for s in (np.frombuffer(x, dtype) for x in b.column("ids").to_pylist()):
                 held.append(s)
                 size += len(s)
                 if size > 1 << 18:
-                    t.learn(*A.windows(held)[:2])
+                    t.learn(*t.model.windows(held)[:2])
                     held, size = [], 0
         if held:
-            t.learn(*A.windows(held)[:2])
+            t.learn(*t.model.windows(held)[:2])
         if t.tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([t.model.flat.astype(np.float64).tolist()], pa.list_(pa.float64())), pa.array([float(t.tokens)])], names=["p", "w"])
+            parts = [(0, [0], [t.tokens], t.model.flat)]
+            for kind, (table, seen) in enumerate(zip((t.model.own, t.model.nodes), t.seen, strict=True)):
+                met = np.flatnonzero(seen)
+                for p in np.unique(met // PART).tolist():
+                    r = met[met // PART == p]
+                    parts.append((1 + 2 * p + kind, r, seen[r], table[r]))
+            yield _means(parts)
+
+    return run
+
+
+def _mean(widths: tuple[int, int, int]):
+    """Weighted means by part and row, over the tasks' rows as they come."""
+
+    def run(it):
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in it:
+            for part, rows, weights, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                width = widths[0 if part == 0 else 1 + (part - 1) % 2]
+                total, weight = sums.setdefault(part, (np.zeros((PART if part else 1, width)), np.zeros(PART if part else 1)))
+                r, w = np.frombuffer(rows, np.int32) % PART, np.frombuffer(weights, np.float64)
+                total[r] += np.frombuffer(x, np.float32).reshape(-1, width) * w[:, None]
+                weight[r] += w
+        parts = []
+        for part, (total, weight) in sums.items():
+            r = np.flatnonzero(weight)
+            parts.append((part, r + (part - 1) // 2 * PART if part else r, weight[r], total[r] / weight[r][:, None]))
+        if parts:
+            yield _means(parts)
 
     return run
 
 
-def _score(flat: np.ndarray, cls: np.ndarray, inside: np.ndarray, dtype: str):
+def _score(model: tuple, dtype: str):
     def run(it):
         C.forget()
-        model = A.Model(flat)
+        m = A.Subwords(*model)
         for b in it:
             out = []
             raw = [np.frombuffer(x, dtype) for x in b.column("ids").to_pylist()]
@@ -137,10 +174,9 @@ def _score(flat: np.ndarray, cls: np.ndarray, inside: np.ndarray, dtype: str):
                 while z < len(raw) and (z == a or size + len(raw[z]) < 1 << 18):
                     size += len(raw[z])
                     z += 1
-                part = raw[a:z]
-                x, y, owner = A.windows([cls[r] for r in part])
-                sums = np.bincount(owner, model.log_probs(x, y).sum(1, dtype=np.float64), len(part))
-                out += [(s + float(inside[r].sum())) / np.log(10) for s, r in zip(sums.tolist(), part, strict=True)]
+                x, y, owner = m.windows(raw[a:z])
+                sums = np.bincount(owner, m.log_probs(x, y).sum(1), z - a)
+                out += (sums / np.log(10)).tolist()
                 a = z
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(out, pa.float64())], names=["doc_id", "text_hash", "score"])
 
@@ -207,14 +243,18 @@ def scores(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     sub = np.zeros(size, np.int64)
     for k, n in codes.where("kind = 2").groupBy("key").agg(F.sum("n")).collect():
         sub[k] = n
-    cls, inside, share = A.classes_of(sub)
-    start = A.initial(share)
-    train = codes.where("kind = 0 and not held_out").select("ids").mapInArrow(_train(start, cls, dtype), "p array<double>, w double")
-    mean = train.select(F.posexplode("p").alias("i", "x"), "w").groupBy("i").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x")).collect()
-    flat = start.copy()
-    for i, x in mean:
-        flat[i] = x
-    model = codes.where("kind = 0").select("doc_id", "text_hash", "ids").mapInArrow(_score(flat, cls, inside, dtype), "doc_id long, text_hash long, score double")
+    tree = A.Tree(sub)
+    start = A.initial(tree.share)
+    first = A.Subwords(start, tree)
+    flat, own, nodes = first.flat, first.own, first.nodes
+    widths = (A.SIZE, own.shape[1], nodes.shape[1])
+    train = codes.where("kind = 0 and not held_out").select("ids").mapInArrow(_train(start, tree, dtype), MEANS_SQL)
+    for part, rows_of, _, x in train.repartition(PARTS, "part").mapInArrow(_mean(widths), MEANS_SQL).collect():
+        if part == 0:
+            flat[:] = np.frombuffer(x, np.float32)
+        else:
+            (own, nodes)[(part - 1) % 2][np.frombuffer(rows_of, np.int32)] = np.frombuffer(x, np.float32).reshape(-1, widths[1 + (part - 1) % 2])
+    model = codes.where("kind = 0").select("doc_id", "text_hash", "ids").mapInArrow(_score((flat, tree, own, nodes), dtype), "doc_id long, text_hash long, score double")
     model = model.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("score").alias("score"))
 
     base = C.written(rows.mapInArrow(_base(head), BASE_SQL), "base")

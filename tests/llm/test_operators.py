@@ -291,6 +291,35 @@ def test_attention():
     assert t.model.log_probs(x, y).sum() / 360 > -0.7 > m.log_probs(x, y).sum() / 360
 
 
+def test_attention_subwords():
+    rnd = np.random.default_rng(4)
+    vocab = 300
+    tree = attention.Tree(rnd.integers(0, 2000, vocab) // np.arange(1, vocab + 1))
+    t = attention.SubwordTrainer(attention.initial(tree.share), tree)
+    a, b = np.flatnonzero(tree.cls[:vocab] == tree.cls[vocab - 1])[:2].tolist()  # two rare subwords of one class
+    c, d = np.flatnonzero(tree.cls[:vocab] == tree.cls[a])[2:4].tolist()
+    pairs = [np.array([x, y] * 30) for x, y in ((a, c), (b, d))] * 30
+    for _ in range(150):
+        t.learn(*t.model.windows(pairs)[:2])
+    m = t.model
+    lp = lambda s: float(m.log_probs(*m.windows([np.array(s)])[:2]).sum())
+    assert lp([a, c] * 10) > lp([a, d] * 10) + 10 and lp([b, d] * 10) > lp([b, c] * 10) + 10  # classes alone cannot tell
+    h = m.context(m.windows([np.array([a, c, a, 5, 7])])[0])[-1][4:5]
+    assert abs(np.exp(m.output(np.repeat(h, vocab, 0), np.arange(vocab))[0]).sum() - 1) < 1e-4
+    x, y, _ = m.windows([rnd.integers(0, vocab, n) for n in (1, 9, 30)])
+    loss = lambda: -m.log_probs(x, y).sum() / 40
+    flat, own, nodes = m.gradients(x, y)
+    for table, g in [(m.flat, zip(range(attention.SIZE), flat, strict=True))] + [(tab, ((r, gr) for r, gr in zip(rows, grads, strict=True))) for tab, (rows, grads, _) in ((m.own, own), (m.nodes, nodes))]:
+        for r, gr in list(g)[:: 11]:
+            at = (r, 3) if table.ndim == 2 else r
+            want, old = float(gr[3] if table.ndim == 2 else gr), table[at]
+            table[at] = old + 1e-2
+            up = loss()
+            table[at] = old - 1e-2
+            assert abs((up - loss()) / 2e-2 - want) < 2e-3 + 0.05 * abs(want), (at, want)
+            table[at] = old
+
+
 def test_components(spark):
     rnd = rng(11)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(50)] + [(7, 7)]
