@@ -11,7 +11,7 @@ from sumweave.llm import decontaminate, mixing, near_dedup, quality, token_files
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without their host's frequent lines."""
     return quality.filtered(docs)
 
 

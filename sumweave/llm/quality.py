@@ -15,6 +15,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sumweave.llm import common as C
 
@@ -69,11 +70,19 @@ def _measures(it):
     for b in it:
         texts = C.raw_texts(b)
         cols = list(zip(*map(measure, texts), strict=True)) or [[]] * 7
-        data = {"row": list(range(row, row + len(texts))), "doc_id": b.column("doc_id").to_pylist(), "host": b.column("host").to_pylist(), "digest": [_long(xxhash.xxh64_intdigest(t)) for t in texts]}
+        data = {"row": list(range(row, row + len(texts))), **{c: b.column(c).to_pylist() for c in ("doc_id", "host", "digest")}}
         row += len(texts)
         yield C.batches(data | dict(zip(MEASURES.names[4:], cols, strict=True)), MEASURES)
 
 
+def _digest():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return C.id_text(docs, F.col("source").cast("string").alias("host"), _digest().alias("digest"))
+
+
 def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
@@ -95,12 +104,17 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, ke
     that repeat a doc_id are measured each; the first holder of a line is told by doc_id (where all
     are null there is none). Other columns are ignored; an empty table gives no rows.
     """
+    return _judged(docs, min_docs, share, keep_share).drop("gone")
+
+
+def _judged(docs: DataFrame, min_docs: int, share: float, keep_share: float) -> DataFrame:
+    """The verdicts with ``gone``, the hashes of the lines to remove (null for none)."""
     C.prepare(docs.sparkSession)
-    m = C.written(C.id_text(docs, F.col("source").cast("string").alias("host")).mapInArrow(_measures, MEASURES_SQL), "measures")
+    m = C.written(_rows(docs).mapInArrow(_measures, MEASURES_SQL), "measures")
     often = C.written(frequent_lines(m, min_docs, share), "lines").select(F.col("host").alias("_host"), F.col("line").alias("_line"), "first")
     lines = m.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "doc_id", "host", "l.*")
     gone = lines.join(often, (F.col("lines") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = gone.groupBy("row").agg(F.sum("line_words").cast("long").alias("removed_words"))
+    gone = gone.groupBy("row").agg(F.sum("line_words").cast("long").alias("removed_words"), F.collect_list("lines").alias("gone"))
     out = m.drop("lines", "line_words").join(gone, "row", "left").fillna(0, ["removed_words"])
     left = (F.col("n_words") - F.col("removed_words")) >= F.lit(keep_share) * F.col("n_words")
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & left)
@@ -114,39 +128,46 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) ->
     ignored; an empty table gives no rows.
     """
     C.prepare(docs.sparkSession)
-    rows = C.id_text(docs, F.col("source").cast("string").alias("host"))
+    rows = _rows(docs)
     m = C.written(rows.mapInArrow(_measures, MEASURES_SQL), "measures")
     often = C.written(frequent_lines(m, min_docs, share), "lines").select(F.col("host").alias("_host"), "line", "first")
     lines = m.select("doc_id", "host", "digest", F.explode("lines").alias("line")).distinct()
     gone = lines.join(often.withColumnRenamed("line", "_line"), (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("digest").alias("_digest")).agg(F.collect_list("line").alias("gone"))
-    marked = rows.mapInArrow(_digests, "doc_id long, text string, host string, digest long")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("host").eqNullSafe(F.col("_host")) & (F.col("digest") == F.col("_digest"))
-    return marked.join(gone, same, "left").select("doc_id", F.col("host").alias("source"), "text", "gone").mapInArrow(_strip, "doc_id long, source string, text string")
+    return rows.join(gone, same, "left").select("doc_id", F.col("host").alias("source"), "text", "gone").mapInArrow(_strip, "doc_id long, source string, text string")
 
 
-def _digests(it):
-    for b in it:
-        digest = pa.array([_long(xxhash.xxh64_intdigest(t)) for t in C.raw_texts(b)], pa.int64())
-        yield pa.RecordBatch.from_arrays([*b.columns, digest], names=["doc_id", "text", "host", "digest"])
+def _without(text: str, gone: list[int]) -> str:
+    off = set(gone)
+    split = [(x, x.encode().split()) for x in text.split("\n")]
+    return "\n".join(x for x, w in split if not w or _long(xxhash.xxh64_intdigest(normal_line(w))) not in off)
 
 
 def _strip(it):
     for b in it:
-        texts = b.column("text").to_pylist()
-        for i, gone in enumerate(b.column("gone").to_pylist()):
-            if gone:
-                off = set(gone)
-                split = [(x, x.encode().split()) for x in texts[i].split("\n")]
-                texts[i] = "\n".join(x for x, w in split if not w or _long(xxhash.xxh64_intdigest(normal_line(w))) not in off)
+        texts = [_without(t, gone) if gone else t for t, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(texts, pa.string())], names=["doc_id", "source", "text"])
 
 
-def filtered(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that are kept, texts as they are. Rows that share a doc_id stand or
-    fall together: they stay if one of them is kept."""
-    keep = verdicts(docs, **limits).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+@F.arrow_udf(StringType())
+def _stripped(text: pa.Array, gone: pa.Array) -> pa.Array:
+    return pa.array([_without(t, g) if g else None for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
+
+
+def filtered(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """The rows of ``docs`` that are kept, without their host's frequent lines (the first holder of
+    a line keeps it); ``n_chars``, where there is one, follows a changed text. Rows that repeat a
+    doc_id are decided each."""
+    kept = _judged(docs, min_docs, share, keep_share).where("kept").groupBy("doc_id", "host", "digest").agg(F.first("gone").alias("gone"))
+    kept = kept.select(*[F.col(c).alias(f"_kept_{c}") for c in kept.columns])
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_kept_doc_id")) & docs["source"].cast("string").eqNullSafe(F.col("_kept_host")) & (_digest() == F.col("_kept_digest"))
+    out, changed = docs.join(kept, same), F.col("_kept_gone").isNotNull()
+    old = F.when(changed, F.col("text").cast("string"))
+    out = out.withColumn("text", F.coalesce(_stripped(old, F.col("_kept_gone")), F.col("text").cast("string")).cast(docs.schema["text"].dataType))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 SQL = f"""
