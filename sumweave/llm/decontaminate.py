@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: 3-gram seeds, then Smith-Waterman alignment.
 
 Test items are few against the corpus; they are worked on in blocks of bounded size, each block
-shipped to the tasks. A first pass over the corpus counts in how many documents each seed (a
-window of three words of an item) stands. Rare seeds are those in few documents, and always the
-rarer half of an item's. A second pass finds rare seeds, cuts the passages around them and aligns
-them with the item by words; a passage that reaches the score is a leak, edited or not.
+shipped to the tasks. A pass over the corpus finds the items' seeds (windows of three words), common
+ones too, and cuts the passages around them. A passage that shares too few words with the item to
+reach the score is left out (a bound that loses none); the others are aligned with the item by words,
+and one that reaches the score is a leak, edited or not.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from sumweave.llm import common as C
 
 SEED_WORDS = 3
-#: A seed is rare in at most this many documents, or this share of them if that is more.
-RARE_DOCS, RARE_SHARE = 20, 0.0005
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score of a leak, as a share of the item's with itself.
 SCORE = 0.5
@@ -62,6 +60,7 @@ class Items:
         split = [(t or "").encode().lower().split() for _, t in items]
         self.vocab = {w: k + 1 for k, w in enumerate(sorted(set(itertools.chain(*split))))}
         self.words = [np.array([self.vocab[w] for w in s], np.int64) for s in split]
+        self.shares = [np.unique(w, return_counts=True) for w in self.words]
         self.base = len(self.vocab) + 1
         places: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):
@@ -88,26 +87,20 @@ class Items:
         hit = self.seeds[k] == g
         return at[hit], k[hit]
 
-    def rare(self, counts: np.ndarray, most: float) -> np.ndarray:
-        """Which seeds are used."""
-        use = counts <= most
-        own: list[list[int]] = [[] for _ in self.words]
-        for s, places in enumerate(self.places):
-            for k, _ in places:
-                own[k].append(s)
-        for seeds in own:
-            ranked = sorted(set(seeds), key=lambda s: (counts[s], s))
-            use[ranked[: -(-len(ranked) // 2)]] = True
-        return use
-
-    def leaks(self, w: np.ndarray, use: np.ndarray, score: float):
+    def reaches(self, k: int, passage: np.ndarray, score: float) -> bool:
+        """Whether the words the passage shares with an item could make the score."""
+        words, need = self.shares[k]
+        at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        have = np.bincount(at[words[at] == passage], minlength=len(words))
+        return int(np.minimum(have, need).sum()) >= score * len(self.words[k])
+
+    def leaks(self, w: np.ndarray, score: float):
         """(item number, score, first, last word) of each item that a text holds."""
         at, seed = self.find(w)
         hits: dict[int, list[int]] = {}
         for a, s in zip(at.tolist(), seed.tolist(), strict=True):
-            if use[s]:
-                for k, p in self.places[s]:
-                    hits.setdefault(k, []).append(a - p)
+            for k, p in self.places[s]:
+                hits.setdefault(k, []).append(a - p)
         for k, starts in hits.items():
             item = self.words[k]
             n = len(item)
@@ -121,31 +114,20 @@ class Items:
             best = (0.0, 0, -1)
             for lo, hi in spans:
                 for a in range(lo, hi, 8 * n):  # long runs of hits in stretches that overlap by two items
+                    if not self.reaches(k, w[a : min(hi, a + 10 * n)], score):
+                        continue
                     got, first, last = smith_waterman(item, w[a : min(hi, a + 10 * n)])
                     best = max(best, (got / (MATCH * n), a + first, a + last))
             if best[0] >= score:
                 yield k, *best
 
 
-def _count(items: Items):
-    def run(it):
-        total, docs = np.zeros(len(items.seeds), np.int64), 0
-        for b in it:
-            for t in C.raw_texts(b):
-                docs += 1
-                total[np.unique(items.find(items.of(t))[1])] += 1
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *k.tolist()], pa.int64()), pa.array([docs, *total[k].tolist()], pa.int64())], names=["seed", "n"])
-
-    return run
-
-
-def _align(items: Items, use: np.ndarray, score: float):
+def _align(items: Items, score: float):
     def run(it):
         for b in it:
             out = {c: [] for c in HITS.names}
             for d, th, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), C.raw_texts(b), strict=True):
-                for k, *rest in items.leaks(items.of(t), use, score):
+                for k, *rest in items.leaks(items.of(t), score):
                     for c, v in zip(HITS.names, (d, th, items.ids[k], *rest), strict=True):
                         out[c].append(v)
             yield C.batches(out, HITS)
@@ -154,15 +136,8 @@ def _align(items: Items, use: np.ndarray, score: float):
 
 
 def _block(rows: DataFrame, items: Items, score: float) -> DataFrame:
-    """The leaks of one block of items, by two passes over the corpus."""
-    counts, total = np.zeros(len(items.seeds), np.int64), 0
-    for s, n in rows.select("text").mapInArrow(_count(items), "seed long, n long").groupBy("seed").agg(F.sum("n")).collect():
-        if s < 0:
-            total = n
-        else:
-            counts[s] = n
-    use = items.rare(counts, max(RARE_DOCS, RARE_SHARE * total))
-    return C.written(rows.mapInArrow(_align(items, use, score), HITS_SQL), "leaks")
+    """The leaks of one block of items."""
+    return C.written(rows.mapInArrow(_align(items, score), HITS_SQL), "leaks")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:

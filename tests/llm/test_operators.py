@@ -220,6 +220,24 @@ def test_decontamination_blocks(spark, monkeypatch):
     assert sorted((r[0], r[2]) for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()) == [(i, i) for i in range(7)]
 
 
+def test_decontamination_hot(spark):
+    rnd = rng(14)
+    items = [(i, prose(rnd, 24, 3000)) for i in range(2)]
+    texts = [items[i % 2][1] for i in range(60)]
+    for i in range(120):  # each edited copy keeps one or two stretches of an item that all the others hold
+        w, a = items[i % 2][1].split(), i // 2 % 12
+        texts.append(" ".join(x if a <= k < a + 12 or k % 2 else f"e{i}" for k, x in enumerate(w)))
+    item_words = [np.array([hash(x) for x in t.split()]) for _, t in items]
+    want = {(d, i) for d, t in enumerate(texts) for i in range(2) if decontaminate.smith_waterman(item_words[i], np.array([hash(x) for x in t.split()]))[0] >= 24}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) >= 180
+    w, all_of = item_words[0], decontaminate.Items(items)  # a lone intact seed, whichever it is
+    for a in range(22):
+        text = " ".join(x if a <= k < a + 3 or (k - a) % 3 else "zz" for k, x in enumerate(items[0][1].split()))
+        best = decontaminate.smith_waterman(w, np.array([hash(x) for x in text.split()]))[0]
+        assert (best >= 24) == any(k == 0 for k, *_ in all_of.leaks(all_of.of(text.encode()), 0.5))
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/en/1?x", "https://A.Example.COM/en/7#t", "http://x.net", "http://xnet/de/", "http://b.example.net/de/81", None, "nourl", "http://bad.org/x", "http://good.org/es/", "ftp://h?/en/", "http://com/en/"]
     pages = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)] + [(100 + i, "http://bad.org/y", "", 1) for i in range(30)] + [(200 + i, "http://good.org/y", "", 1) for i in range(30)], "page_id long, url string, html string, bound int")
