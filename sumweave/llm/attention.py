@@ -1,14 +1,13 @@
 """A small causal self-attention model in numpy over subword ids.
 
-Each subword has its own query, key, value and residual vectors, added to those of its class (subwords
-are dealt into classes of about equal frequency), so rare subwords start from their class. The
-output is factored exactly: a softmax over the classes, then a Huffman tree over the subwords of
-the class, each node a logistic choice by the context; a text's probability depends on every
-subword of the context and of the output. One attention head with relative position biases.
-Windows of 12 inputs overlap by 4: the last 8 positions of a window are its targets, so each token
-is predicted once, with the 4 to 11 inputs before its own at hand.
-
-``Model`` is the class part alone; ``Subwords`` has the subwords' own vectors and trees on top.
+A subword's embedding is its own row plus its class's (subwords are dealt into classes of about
+equal frequency, so rare ones start from their class). Queries, keys, values and a residual are
+projections of embeddings; one head with relative position biases. The output is factored exactly: a
+softmax over the classes, then a Huffman tree over the subwords of the class, each node a logistic
+choice by the context; a text's probability depends on every subword of the context and of the
+output. Windows of 24 inputs overlap by 8: the last 16
+positions of a window are its targets, so each token is predicted once, with the 8 to 23 inputs
+before its own at hand.
 """
 
 from __future__ import annotations
@@ -17,21 +16,25 @@ import heapq
 
 import numpy as np
 
-CLASSES, DIM, STRIDE, BACK = 32, 8, 8, 4
+CLASSES, STRIDE, BACK = 64, 16, 8
+#: Width of embeddings, of queries and keys, of the state before the output, and of its part the trees see.
+WIDE, KEY, DIM, SEEN = 12, 4, 12, 8
 WINDOW = STRIDE + BACK
 BOS, PAD = CLASSES, CLASSES + 1
 INPUTS = CLASSES + 2
-#: Windows to a step of training and to a chunk of scoring.
-BATCH = 1024
-RATE, BETA1, BETA2 = 0.02, 0.9, 0.98
+#: Windows to a step of training and to a chunk of scoring; to a step where training begins.
+BATCH, FIRST_BATCH = 512, 64
+RATE, BETA1, BETA2 = 0.03, 0.9, 0.98
 #: Adagrad's rate for the subwords' own vectors and tree nodes.
-OWN_RATE = 0.1
+OWN_RATE = 0.3
 
-SHAPES = {"q": (INPUTS, DIM), "k": (INPUTS, DIM), "v": (INPUTS, DIM), "r": (INPUTS, DIM), "b": (WINDOW,), "o": (DIM, CLASSES), "c": (CLASSES,)}
+SHAPES = {"e": (INPUTS, WIDE), "q": (WIDE, KEY), "k": (WIDE, KEY), "v": (WIDE, DIM), "r": (WIDE, DIM), "b": (WINDOW,), "o": (DIM + 1, CLASSES)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 _OFFSET = (np.arange(STRIDE)[:, None] + BACK) - np.arange(WINDOW)[None, :]
 _CAUSAL = _OFFSET >= 0
 _OFFSET = np.maximum(_OFFSET, 0)
+_SCALE = np.float32(1 / np.sqrt(KEY))
+_ONES = np.ones(CLASSES, np.float32)
 
 
 def initial(class_share: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -40,7 +43,7 @@ def initial(class_share: np.ndarray, seed: int = 5) -> np.ndarray:
     flat = (rng.standard_normal(SIZE) * 0.3).astype(np.float32)
     p = unpack(flat)
     p["b"][:] = -0.2 * np.arange(WINDOW)
-    p["c"][:] = np.log(np.maximum(class_share, 1e-9))
+    p["o"][DIM] = np.log(np.maximum(class_share, 1e-9))
     return flat
 
 
@@ -54,133 +57,27 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each subword, its log share in the class, share of each class) from counts."""
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    """The class of each subword: by falling counts, each class about as frequent as the others."""
     order = np.argsort(-counts, kind="stable")
     mass = counts[order] + 0.5
     middle = np.cumsum(mass) - mass / 2
-    cls = np.empty(len(counts), np.uint8)
-    cls[order] = np.minimum(CLASSES - 1, middle / mass.sum() * CLASSES).astype(np.uint8)
-    total = np.bincount(cls, weights=counts + 0.5, minlength=CLASSES)
-    return cls, np.log((counts + 0.5) / total[cls]), total / total.sum()
-
-
-def windows(seqs: list[np.ndarray], bos: int = BOS, pad: int = PAD, dtype=np.uint8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs [n, WINDOW], targets [n, STRIDE] with ``pad`` behind the end, sequence of each window)."""
-    counts = [-(-len(s) // STRIDE) for s in seqs]
-    n = sum(counts)
-    buf = np.full(n * STRIDE + len(seqs) * BACK, pad, dtype)
-    tgt = np.full(n * STRIDE, pad, dtype)
-    starts = np.empty(n, np.int64)
-    at, w = 0, 0
-    for s, c in zip(seqs, counts, strict=True):
-        buf[at + BACK] = bos
-        buf[at + BACK + 1 : at + BACK + len(s)] = s[:-1]
-        tgt[w * STRIDE : w * STRIDE + len(s)] = s
-        starts[w : w + c] = at + STRIDE * np.arange(c)
-        at += BACK + STRIDE * c
-        w += c
-    return np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[starts], tgt.reshape(n, STRIDE), np.repeat(np.arange(len(seqs)), counts)
-
-
-class Model:
-    def __init__(self, flat: np.ndarray):
-        self.flat = np.array(flat, np.float32)
-        self.p = unpack(self.flat)
-
-    def tables(self):
-        """exp(scores) by query and key class (0 for padding), exp(bias) by place (0 ahead)."""
-        s = self.p["q"] @ self.p["k"].T / np.float32(np.sqrt(DIM))
-        e = np.exp(np.clip(s, -15, 15))
-        e[:, PAD] = 0
-        e[PAD] = 1
-        return e, np.where(_CAUSAL, np.exp(np.clip(self.p["b"], -15, 15))[_OFFSET], 0).astype(np.float32)
-
-    def forward(self, x: np.ndarray, tables):
-        e, eb = tables
-        q = x[:, BACK:]
-        pair = q.astype(np.int32)[:, :, None] * INPUTS + x[:, None, :]
-        a = e.ravel()[pair]
-        a *= eb
-        a /= np.maximum(a.sum(2, keepdims=True), 1e-20)
-        vx = self.p["v"][x]
-        ctx = a @ vx
-        h = np.tanh(ctx + self.p["r"][q]).reshape(-1, DIM)
-        logits = h @ self.p["o"]
-        logits += self.p["c"]
-        return q, pair, a, vx, ctx, h, logits
-
-    def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target, 0 at padding."""
-        out, tables = np.zeros(y.shape, np.float32), self.tables()
-        for i in range(0, len(x), BATCH):
-            logits = self.forward(x[i : i + BATCH], tables)[-1]
-            t = y[i : i + BATCH].ravel()
-            real = t < CLASSES
-            own = logits[np.arange(len(t)), np.where(real, t, 0)]
-            out[i : i + BATCH] = np.where(real, own - np.log(np.exp(logits).sum(1)), 0).reshape(-1, STRIDE)
-        return out
-
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The mean loss's gradient over one batch."""
-        q, pair, a, vx, ctx, h, logits = self.forward(x, self.tables())
-        t = y.ravel()
-        real = t < CLASSES
-        d = np.exp(logits)
-        d *= (real / d.sum(1))[:, None]
-        d[np.flatnonzero(real), t[real]] -= 1
-        d /= max(1, int(real.sum()))
-        grad = np.zeros(SIZE, np.float32)
-        g = unpack(grad)
-        g["o"][:] = h.T @ d
-        g["c"][:] = d.sum(0)
-        du = (d @ self.p["o"].T) * (1 - h * h)
-        flat_q, flat_x = q.ravel(), np.ascontiguousarray(x).ravel()
-        du3 = du.reshape(len(x), STRIDE, DIM)
-        dv = (a.transpose(0, 2, 1) @ du3).reshape(-1, DIM)
-        for j in range(DIM):
-            g["r"][:, j] = np.bincount(flat_q, du[:, j], INPUTS)
-            g["v"][:, j] = np.bincount(flat_x, dv[:, j], INPUTS)
-        ds = du3 @ vx.transpose(0, 2, 1)
-        ds -= (du3 * ctx).sum(2, keepdims=True)
-        ds *= a
-        table = np.bincount(pair.ravel(), ds.ravel(), INPUTS * INPUTS).reshape(INPUTS, INPUTS).astype(np.float32)
-        table[:, PAD] = 0
-        g["q"][:] = table @ self.p["k"] / np.sqrt(DIM)
-        g["k"][:] = table.T @ self.p["q"] / np.sqrt(DIM)
-        g["b"][:] = np.bincount(_OFFSET.ravel(), np.where(_CAUSAL, ds.sum(0), 0).ravel(), WINDOW)
-        return grad
-
-
-class Trainer:
-    """Adam over batches of windows in the order they come."""
-
-    def __init__(self, flat: np.ndarray):
-        self.model = Model(flat)
-        self.m, self.v, self.n, self.tokens = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, 0
-
-    def learn(self, x: np.ndarray, y: np.ndarray) -> None:
-        for i in range(0, len(x), BATCH):
-            self.step(self.model.gradient(x[i : i + BATCH], y[i : i + BATCH]))
-        self.tokens += int((y < CLASSES).sum())
-
-    def step(self, g: np.ndarray) -> None:
-        self.n += 1
-        self.m += (1 - BETA1) * (g - self.m)
-        self.v += (1 - BETA2) * (g * g - self.v)
-        rate = RATE / (1 + self.n / 100) ** 0.5
-        self.model.flat -= rate * (self.m / (1 - BETA1**self.n)) / (np.sqrt(self.v / (1 - BETA2**self.n)) + 1e-8)
+    cls = np.empty(len(counts), np.int64)
+    cls[order] = np.minimum(CLASSES - 1, middle / mass.sum() * CLASSES).astype(np.int64)
+    return cls
 
 
 class Tree:
     """The classes of a vocabulary and a Huffman tree over each one's subwords.
 
-    A subword's path is ``node[ptr[i]:ptr[i + 1]]`` with the sides taken (1 or -1) in ``side``;
+    A subword's path is ``node[first[i]:first[i] + size[i]]`` with the sides taken (1 or -1) in ``side``;
     ``bias`` makes each node choose by the counts alone at the start.
     """
 
     def __init__(self, counts: np.ndarray):
-        own, _, self.share = classes_of(counts)
+        own = classes_of(counts)
+        total = np.bincount(own, weights=counts + 0.5, minlength=CLASSES)
+        self.share = total / total.sum()
         self.vocab = len(counts)
         self.cls = np.append(own, [BOS, PAD]).astype(np.int64)
         nodes, paths = 0, [()] * self.vocab
@@ -203,39 +100,63 @@ class Tree:
                     paths[at] = path
         self.bias = np.array(bias, np.float32)
         self.size = np.array([len(p) for p in paths], np.int64)
-        self.ptr = np.append(0, np.cumsum(self.size))
+        self.first = np.cumsum(self.size) - self.size
         flat = np.array([x for p in paths for x in p], np.int32).reshape(-1, 2)
-        self.node, self.side = np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.int8)
+        self.node, self.side = np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.float32)
 
-    def steps(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in t, node, side) of every step of the paths to the subwords t."""
-        size = self.size[t]
-        place = np.repeat(np.arange(len(t)), size)
-        at = np.arange(len(place)) + np.repeat(self.ptr[t] - (np.cumsum(size) - size), size)
-        return place, self.node[at], self.side[at].astype(np.float32)
+    def levels(self, size: np.ndarray, t: np.ndarray):
+        """(nodes, sides) of the first, second, ... step of the paths to the subwords t, sorted by
+        falling path lengths ``size``: those that go on are always the first ones."""
+        first = self.first.take(t)
+        ends = np.searchsorted(-size, -np.arange(1, size[0] + 1 if len(size) else 1), side="right")
+        for j, n in enumerate(ends.tolist()):
+            at = first[:n] + j
+            yield self.node.take(at), self.side.take(at)
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of values [m, k] by row number."""
-    out = np.empty((n, values.shape[1]), np.float32)
-    for j in range(values.shape[1]):
-        out[:, j] = np.bincount(rows, values[:, j], n)
-    return out
+    k = values.shape[1]
+    at = (rows[:, None] * k + np.arange(k)).ravel()
+    return np.bincount(at, values.ravel(), n * k).reshape(n, k).astype(np.float32)
+
+
+def seen(h: np.ndarray) -> np.ndarray:
+    """The part of states that the trees see: the last values, and the 1."""
+    return np.ascontiguousarray(h[:, DIM - SEEN :])
 
 
-class Subwords(Model):
-    """The model over subword ids; ``own`` holds each one's q, k, v, r beside its class's, ``nodes`` each node's vector and bias."""
+class Model:
+    """The model; ``flat`` is what all subwords share, ``own`` each one's embedding beside its class's
+    (small at random at first, to tell the subwords of a class apart), ``nodes`` each tree node's
+    vector and bias."""
 
     def __init__(self, flat: np.ndarray, tree: Tree, own: np.ndarray | None = None, nodes: np.ndarray | None = None):
-        super().__init__(flat)
+        self.flat = np.array(flat, np.float32)
+        self.p = unpack(self.flat)
         self.tree, self.bos, self.pad = tree, tree.vocab, tree.vocab + 1
-        self.own = np.zeros((tree.vocab + 2, 4 * DIM), np.float32) if own is None else np.array(own, np.float32)
-        self.nodes = np.column_stack([np.zeros((len(tree.bias), DIM), np.float32), tree.bias]) if nodes is None else np.array(nodes, np.float32)
+        own = np.random.default_rng(7).standard_normal((tree.vocab + 2, WIDE)) * 0.05 if own is None else own
+        self.own = np.array(own, np.float32)
+        self.nodes = np.column_stack([np.zeros((len(tree.bias), SEEN), np.float32), tree.bias]) if nodes is None else np.array(nodes, np.float32)
         self._rank = np.zeros(max(tree.vocab + 2, len(tree.bias)), np.int64)
         self._mark = np.zeros(len(self._rank), bool)
 
-    def windows(self, seqs: list[np.ndarray]):
-        return windows(seqs, self.bos, self.pad, np.int32)
+    def windows(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs [n, WINDOW], targets [n, STRIDE], padded behind the end, sequence of each window)."""
+        counts = [-(-len(s) // STRIDE) for s in seqs]
+        n = sum(counts)
+        buf = np.full(n * STRIDE + len(seqs) * BACK, self.pad, np.int32)
+        tgt = np.full(n * STRIDE, self.pad, np.int32)
+        starts = np.empty(n, np.int64)
+        at, w = 0, 0
+        for s, c in zip(seqs, counts, strict=True):
+            buf[at + BACK] = self.bos
+            buf[at + BACK + 1 : at + BACK + len(s)] = s[:-1]
+            tgt[w * STRIDE : w * STRIDE + len(s)] = s
+            starts[w : w + c] = at + STRIDE * np.arange(c)
+            at += BACK + STRIDE * c
+            w += c
+        return np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[starts], tgt.reshape(n, STRIDE), np.repeat(np.arange(len(seqs)), counts)
 
     def distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(distinct values, places in them)."""
@@ -243,92 +164,127 @@ class Subwords(Model):
         u = np.flatnonzero(self._mark)
         self._mark[u] = False
         self._rank[u] = np.arange(len(u))
-        return u, self._rank[x]
+        return u, self._rank.take(x)
 
     def context(self, x: np.ndarray):
-        """The state before the output for each target place, and what the gradient needs of the way there."""
+        """The state before the output (and a 1) for each target place, and what the gradient needs of the way there."""
         used, at = self.distinct(x)
-        c = self.tree.cls[used]
-        g = (np.hstack([self.p[name][c] for name in "qkvr"]) + self.own[used])[at]
-        q, k, v, r = g[:, BACK:, :DIM], np.ascontiguousarray(g[:, :, DIM : 2 * DIM]), np.ascontiguousarray(g[:, :, 2 * DIM : 3 * DIM]), g[:, BACK:, 3 * DIM :]
-        q = np.ascontiguousarray(q) / np.float32(np.sqrt(DIM))
-        a = np.exp(np.clip(q @ k.transpose(0, 2, 1), -15, 15))
+        e = self.p["e"].take(self.tree.cls[used], axis=0) + self.own.take(used, axis=0)
+        late = np.ascontiguousarray(at[:, BACK:])
+        q, k, v, r = (e @ self.p["q"] * _SCALE).take(late, axis=0), (e @ self.p["k"]).take(at, axis=0), (e @ self.p["v"]).take(at, axis=0), (e @ self.p["r"]).take(late, axis=0)
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -15, 15, out=a)
+        np.exp(a, out=a)
         a *= np.where(_CAUSAL, np.exp(np.clip(self.p["b"], -15, 15))[_OFFSET], 0).astype(np.float32)
-        a *= (x != self.pad)[:, None, :]
+        if used[-1] == self.pad:
+            a *= (x != self.pad)[:, None, :]
         a /= np.maximum(a.sum(2, keepdims=True), 1e-20)
         ctx = a @ v
-        return used, at, q, k, v, a, ctx, np.tanh(ctx + r).reshape(-1, DIM)
-
-    def output(self, h: np.ndarray, t: np.ndarray):
-        """Log probabilities of subwords t after states h, and what the gradient needs."""
-        logits = h @ self.p["o"] + self.p["c"]
-        place, node, side = self.tree.steps(t)
-        w, hp = self.nodes[node], h[place]
-        z = side * (np.einsum("ij,ij->i", w[:, :DIM], hp) + w[:, DIM])
-        inside = np.bincount(place, -np.logaddexp(np.float32(0), -z), len(t))
-        e = np.exp(logits)
-        total = e.sum(1)
-        return logits[np.arange(len(t)), self.tree.cls[t]] - np.log(total) + inside, e / total[:, None], place, node, side, w, hp, z
+        r += ctx
+        h = np.ones((len(x) * STRIDE, DIM + 1), np.float32)
+        np.tanh(r.reshape(-1, DIM), out=h[:, :DIM])
+        return used, e, at, late, q, k, v, a, ctx, h
+
+    def targets(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places that are no padding, by falling lengths of their targets' paths; targets; lengths)."""
+        t = y.ravel()
+        real = np.flatnonzero(t != self.pad)
+        size = self.tree.size.take(t[real])
+        order = np.argsort((255 - np.minimum(size, 255)).astype(np.uint8), kind="stable")
+        real, size = real[order], size[order]
+        return real, t[real], size
+
+    def output(self, h: np.ndarray, t: np.ndarray, size: np.ndarray):
+        """Log probabilities of subwords t after states h (sorted by path lengths), and what the gradient needs."""
+        logits = h @ self.p["o"]
+        mine = np.arange(0, logits.size, CLASSES) + self.tree.cls.take(t)
+        out = logits.ravel().take(mine)
+        e = np.exp(logits, out=logits)
+        total = e @ _ONES
+        out -= np.log(total)
+        steps, state = [], seen(h)
+        for node, side in self.tree.levels(size, t):
+            w = self.nodes.take(node, axis=0)
+            z = np.clip(side * np.einsum("ij,ij->i", w, state[: len(node)]), -30, 30)
+            fail = np.exp(-z)  # odds against the side taken
+            out[: len(node)] -= np.log(1 + fail)
+            steps.append((node, w, -side * fail / (1 + fail)))
+        return out, e, total, mine, steps
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log probability of each target, 0 at padding."""
         out = np.zeros(y.size, np.float64)
         for i in range(0, len(x), BATCH):
-            t = y[i : i + BATCH].ravel()
-            real = np.flatnonzero(t != self.pad)
+            real, t, size = self.targets(y[i : i + BATCH])
             h = self.context(x[i : i + BATCH])[-1]
-            out[i * STRIDE + real] = self.output(h[real], t[real])[0]
+            out[i * STRIDE + real] = self.output(h.take(real, axis=0), t, size)[0]
         return out.reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray):
-        """The mean loss's gradient over one batch: of the class part, (subwords, rows, times read) and (nodes, rows, times)."""
-        used, at, q, k, v, a, ctx, h = self.context(x)
-        t = y.ravel()
-        real = np.flatnonzero(t != self.pad)
-        n = max(1, len(real))
-        t, hr = t[real], h[real]
-        _, d, place, node, side, w, hp, z = self.output(hr, t)
-        d[np.arange(len(t)), self.tree.cls[t]] -= 1
-        d /= n
-        s = -side / (1 + np.exp(np.clip(z, -30, 30))) / n
-        nodes, na = self.distinct(node)
-        by_node = np.column_stack([_sums(na, hp * s[:, None], len(nodes)), np.bincount(na, s, len(nodes))]).astype(np.float32)
+        """The mean loss's gradient over one batch: of the shared part, (subwords, rows) and (nodes, rows)."""
+        used, emb, at, late, q, k, v, a, ctx, h = self.context(x)
+        real, t, size = self.targets(y)
+        n = np.float32(max(1, len(real)))
+        hr = h.take(real, axis=0)
+        _, e, total, mine, steps = self.output(hr, t, size)
+        scale = (1 / (n * total))[:, None]
+        e.ravel()[mine] -= total
         grad = np.zeros(SIZE, np.float32)
         g = unpack(grad)
-        g["o"][:] = hr.T @ d
-        g["c"][:] = d.sum(0)
-        dh = d @ self.p["o"].T + _sums(place, w[:, :DIM] * s[:, None], len(t))
-        du = np.zeros_like(h)
-        du[real] = dh * (1 - hr * hr)
+        g["o"][:] = (hr * scale).T @ e
+        dh = e @ self.p["o"][:DIM].T
+        dh *= scale
+        for_nodes, state = [np.zeros((0, SEEN + 1), np.float32)], seen(hr)
+        for node, w, s in steps:
+            s = (s / n)[:, None]
+            for_nodes.append(state[: len(node)] * s)
+            w *= s
+            dh[: len(node), DIM - SEEN :] += w[:, :SEEN]
+        nodes, na = self.distinct(np.concatenate([np.zeros(0, np.int32), *(node for node, _, _ in steps)]))
+        by_node = _sums(na, np.concatenate(for_nodes), len(nodes))
+        hr = hr[:, :DIM]
+        dh *= 1 - hr * hr
+        du = np.zeros((len(h), DIM), np.float32)
+        du[real] = dh
         du3 = du.reshape(len(x), STRIDE, DIM)
         ds = du3 @ v.transpose(0, 2, 1)
-        ds -= (du3 * ctx).sum(2, keepdims=True)
+        ds -= np.einsum("bij,bij->bi", du3, ctx)[:, :, None]
         ds *= a
         g["b"][:] = np.bincount(_OFFSET.ravel(), np.where(_CAUSAL, ds.sum(0), 0).ravel(), WINDOW)
-        qa, xa, m = at[:, BACK:].ravel(), at.ravel(), len(used)
-        rows = np.hstack([_sums(qa, (ds @ k).reshape(-1, DIM) / np.float32(np.sqrt(DIM)), m), _sums(xa, (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM), m), _sums(xa, (a.transpose(0, 2, 1) @ du3).reshape(-1, DIM), m), _sums(qa, du, m)])
-        by_class = _sums(self.tree.cls[used], rows, INPUTS)
-        for i, name in enumerate("qkvr"):
-            g[name][:] = by_class[:, i * DIM : (i + 1) * DIM]
-        return grad, (used, rows, np.bincount(xa, minlength=m)), (nodes, by_node, np.bincount(na, minlength=len(nodes)))
+        dq, dk, dv = ((ds @ k) * _SCALE).reshape(-1, KEY), (ds.transpose(0, 2, 1) @ q).reshape(-1, KEY), (a.transpose(0, 2, 1) @ du3).reshape(-1, DIM)
+        x_all, x_late = emb.take(at.ravel(), axis=0), emb.take(late.ravel(), axis=0)
+        for name, xs, d in (("q", x_late, dq), ("k", x_all, dk), ("v", x_all, dv), ("r", x_late, du)):
+            g[name][:] = xs.T @ d
+        dx = (dk @ self.p["k"].T + dv @ self.p["v"].T).reshape(len(x), WINDOW, WIDE)
+        dx[:, BACK:] += (dq @ self.p["q"].T + du @ self.p["r"].T).reshape(len(x), STRIDE, WIDE)
+        rows = _sums(at.ravel(), dx.reshape(-1, WIDE), len(used))
+        g["e"][:] = _sums(self.tree.cls[used], rows, INPUTS)
+        return grad, (used, rows), (nodes, by_node)
 
 
-class SubwordTrainer(Trainer):
-    """Adam for the class part, Adagrad for the rows of subwords and nodes a batch touches; ``seen``
-    counts how often each was, the weight of its row in the mean over trainers."""
+class Trainer:
+    """Adam for the shared part, Adagrad for the rows of subwords and nodes a batch touches; ``seen``
+    counts how many batches touched each, the weight of its row in a mean over trainers."""
 
-    def __init__(self, flat: np.ndarray, tree: Tree):
-        super().__init__(flat)
-        self.model = Subwords(flat, tree)
-        self.seen = [np.zeros(len(x), np.int64) for x in (self.model.own, self.model.nodes)]
-        self._squares = [np.full_like(x, 1e-12) for x in (self.model.own, self.model.nodes)]
+    def __init__(self, model: Model, batch: int = BATCH):
+        self.model, self.batch = model, batch
+        self.m, self.v, self.n = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0
+        self._squares = [np.full_like(x, 1e-12) for x in (model.own, model.nodes)]
+        self.seen = [np.zeros(len(x), np.int64) for x in (model.own, model.nodes)]
 
     def learn(self, x: np.ndarray, y: np.ndarray) -> None:
-        for i in range(0, len(x), BATCH):
-            g, *sparse = self.model.gradients(x[i : i + BATCH], y[i : i + BATCH])
+        for i in range(0, len(x), self.batch):
+            g, *sparse = self.model.gradients(x[i : i + self.batch], y[i : i + self.batch])
             self.step(g)
-            for table, squares, seen, (rows, d, times) in zip((self.model.own, self.model.nodes), self._squares, self.seen, sparse, strict=True):
-                q = squares[rows] + d * d
+            for table, squares, seen, (rows, d) in zip((self.model.own, self.model.nodes), self._squares, self.seen, sparse, strict=True):
+                q = squares.take(rows, axis=0) + d * d
                 squares[rows] = q
                 table[rows] -= OWN_RATE * d / np.sqrt(q)
-                seen[rows] += times
-        self.tokens += int((y != self.model.pad).sum())
+                seen[rows] += 1
+
+    def step(self, g: np.ndarray) -> None:
+        self.n += 1
+        self.m += (1 - BETA1) * (g - self.m)
+        self.v += (1 - BETA2) * (g * g - self.v)
+        rate = RATE / (1 + self.n / 100) ** 0.5
+        self.model.flat -= rate * (self.m / (1 - BETA1**self.n)) / (np.sqrt(self.v / (1 - BETA2**self.n)) + 1e-8)

@@ -46,10 +46,10 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{prepare(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """The rows as a table in the shared folder: it cuts lineage and outlives lost executors."""
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

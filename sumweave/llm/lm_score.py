@@ -2,21 +2,23 @@
 
 The base is an add-one unigram model over words and an end token. The model proper is a causal
 self-attention model (``attention``) over subword ids. All training documents train both; every
-document is scored. Three passes:
+document is scored:
 
 1. encode: subword ids to a table in the shared folder, with the training documents' word and
    subword counts (added up in each task first, then by Spark);
-2. train: every task trains on all windows of its documents from the same start; the parameters'
-   mean is the model (one round of model averaging): weighted by tokens, a subword's and a tree
-   node's own rows by how often the task met them;
+2. train: training documents are dealt into shards of about SHARD subwords by a hash of id and
+   text, and stand in a shard in the order of another. The first shard trains the start; every other
+   shard trains a copy of it, and the copies' mean is the model: by steps for what all subwords
+   share, by the steps that touched it for a subword's and a tree node's own row. Shards and their
+   order depend on the rows alone, so scores don't depend on partitions (but for rounding in sums);
 3. score: overlapping windows by the trained model; words by the counts. The HEAD most frequent
    words' counts go to the tasks (a fixed number of them); all other words meet their counts in a join.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +32,18 @@ from sumweave.llm import common as C
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts are sent to every task.
 HEAD = 1 << 16
-#: Distinct words a task adds up before it hands them on.
-FLUSH = 200_000
-#: Words whose subword ids an encoding task remembers.
-CACHE = 500_000
-#: Words whose values a scoring task remembers.
-VALUES = 300_000
+#: Distinct words a task numbers before it starts afresh (a memory bound; results don't depend on it).
+WORDS = 500_000
+#: Bytes of text worked on at once.
+GROUP = 4_000_000
+#: Subwords to a training shard, about; tasks that train at most (a task takes its shards in turn).
+SHARD, TASKS = 2_000_000, 20_000
+#: Subwords trained on at once.
+CHUNK = 1 << 18
 #: Subwords or tree nodes to a part of the averaged model, and partitions that average them.
 PART, PARTS = 4096, 8
-#: Key of the end token; no word holds a blank.
-END = b" end"
+#: The end token's key; no word holds a blank.
+END = xxhash.xxh64_intdigest(b" end")
 
 CODES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 CODES_SQL = "kind int, doc_id long, text_hash long, held_out boolean, ids binary, key long, n long"
@@ -51,55 +55,117 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
-
-
-def _hashes(words) -> np.ndarray:
-    """Hashes of words seen once or seldom: past the cache."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def _groups(texts: list[bytes]):
+    """(first, last) of runs of texts of about GROUP bytes (a longer text is a run of its own)."""
+    a = size = 0
+    for z, t in enumerate(texts):
+        if z > a and size + len(t) > GROUP:
+            yield a, z
+            a, size = z, 0
+        size += len(t)
+    if texts:
+        yield a, len(texts)
+
+
+class Numbers:
+    """Words by number in the order they come, and columns of values by number."""
+
+    def __init__(self, describe):
+        """``describe`` gives the columns' values of a list of new words."""
+        self.at: dict[bytes, int] = {}
+        self.describe = describe
+        self.columns: list[np.ndarray] = []
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        get = self.at.get
+        k = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(k < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(words[i] for i in unknown))
+            base = len(self.at)
+            self.at.update(zip(new, range(base, base + len(new)), strict=True))
+            values = self.describe(new)
+            if not base:
+                self.columns = [np.zeros(0, v.dtype) for v in values]
+            for i, v in enumerate(values):
+                if base + len(v) > len(self.columns[i]):
+                    self.columns[i] = np.concatenate([self.columns[i], np.zeros(base + 2 * len(v) + 1000, v.dtype)])
+                self.columns[i][base : base + len(v)] = v
+            k[unknown] = np.fromiter((get(words[i]) for i in unknown), np.int64, len(unknown))
+        return k
+
+
+def _lower_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in words), np.uint64, len(words))
 
 
 def _encode(tokenizer: str, end_id: int, vocab: int):
     def rows(kind: int, keys, counts):
         n = len(keys)
         none = lambda t: pa.nulls(n, t)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.bool_()), none(pa.binary()), keys, counts], schema=CODES)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), none(pa.int64()), none(pa.int64()), none(pa.bool_()), none(pa.binary()), pa.array(keys), pa.array(counts)], schema=CODES)
 
     def run(it):
-        C._WORDS.clear()
-        tok = C.token_cache(tokenizer, CACHE)
-        end = np.array([end_id], tok.dtype).tobytes()
-        words: Counter = Counter()
-        subwords = np.zeros(vocab, np.int64)
+        C.forget()
+        tok = C.TokenCache(tokenizer, limit=1 << 62)
+        end, subwords, state = np.array([end_id], tok.dtype).tobytes(), np.zeros(vocab, np.int64), {}
+
+        def afresh():
+            state.update(tokens=np.zeros(0, tok.dtype), used=0, counts=np.zeros(0, np.int64), numbers=Numbers(describe))
+
+        def describe(new):
+            tok.learn(set(new))
+            data = [tok.words.pop(w) for w in new]
+            size = np.fromiter(map(len, data), np.int64, len(data)) // tok.width
+            more = np.frombuffer(b"".join(data), tok.dtype)
+            u, z = state["used"], state["used"] + len(more)
+            if z > len(state["tokens"]):
+                state["tokens"] = np.concatenate([state["tokens"], np.zeros(z + len(more), tok.dtype)])
+            state["tokens"][u:z] = more
+            state["used"] = z
+            return u + np.cumsum(size) - size, size, _lower_hashes(new).view(np.int64)
 
         def flush():
-            k = list(words)
-            batch = rows(1, _signed(_hashes(k)), pa.array(list(words.values()), pa.int64()))
-            words.clear()
-            return batch
+            k = np.flatnonzero(state["counts"])
+            if len(k):
+                yield rows(1, state["numbers"].columns[2][k], state["counts"][k])
+            afresh()
 
+        afresh()
+        trained = 0
         for b in it:
-            ids, texts = b.column("doc_id").to_pylist(), C.raw_texts(b)
-            held, codes = [held_out(i) for i in ids], []
-            for a in range(0, len(texts), 64):
-                split = [t.split() for t in texts[a : a + 64]]
-                part = tok.encode_split(split, set().union(*split))
-                for w, h, data, t in zip(split, held[a : a + 64], part, texts[a : a + 64], strict=True):
-                    codes.append(data + end)
-                    if not h:
-                        words.update(t.lower().split())
-                        words[END] += 1
-                        subwords += np.bincount(np.frombuffer(codes[-1], tok.dtype), minlength=vocab)
+            ids, texts, codes = b.column("doc_id").to_pylist(), C.raw_texts(b), []
+            held = np.fromiter(map(held_out, ids), bool, len(ids))
+            for a, z in _groups(texts):
+                if len(state["numbers"].at) > WORDS:
+                    yield from flush()
+                split = [t.split() for t in texts[a:z]]
+                n = np.fromiter(map(len, split), np.int64, z - a)
+                k = state["numbers"].of(list(itertools.chain.from_iterable(split)))
                 del split
-                if len(words) > FLUSH:
-                    yield flush()
+                if not len(k):
+                    codes += [end] * (z - a)
+                    continue
+                first, size, _ = state["numbers"].columns
+                size = size.take(k)
+                ends = np.cumsum(size)
+                stream = state["tokens"].take(np.repeat(first.take(k) - (ends - size), size) + np.arange(ends[-1]))
+                cuts = np.append(0, ends)[np.append(0, np.cumsum(n))].tolist()
+                codes += [stream[x:y].tobytes() + end for x, y in zip(cuts, cuts[1:], strict=False)]
+                trains = ~held[a:z]
+                counts = np.bincount(k[np.repeat(trains, n)], minlength=len(state["numbers"].at))
+                counts[: len(state["counts"])] += state["counts"]
+                state["counts"] = counts
+                subwords += np.bincount(stream[np.repeat(trains, np.diff(cuts))], minlength=vocab)
+            trained += int((~held).sum())
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), b.column("doc_id"), b.column("text_hash"), pa.array(held), pa.array(codes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=CODES)
-        if words:
-            yield flush()
-        k = np.flatnonzero(subwords)
-        yield rows(2, pa.array(k, pa.int64()), pa.array(subwords[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column("doc_id"), b.column("text_hash"), pa.array(held), pa.array(codes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=CODES)
+        yield from flush()
+        if trained:
+            subwords[end_id] += trained
+            k = np.flatnonzero(subwords)
+            yield rows(2, k, subwords[k])
+            yield rows(1, np.array([END], np.uint64).view(np.int64), np.array([trained]))
 
     return run
 
@@ -110,30 +176,56 @@ MEANS_SQL = "part int, rows binary, weights binary, x binary"
 def _means(parts) -> pa.RecordBatch:
     """Rows (part, row numbers, their weights, their values) as a batch."""
     part, rows, weights, x = zip(*parts, strict=True)
-    data = [[np.ascontiguousarray(v, t).tobytes() for v in c] for c, t in ((rows, np.int32), (weights, np.float64), (x, np.float32))]
+    data = [[np.ascontiguousarray(v, t).tobytes() for v in c] for c, t in ((rows, np.int32), (weights, np.float64), (x, np.float64))]
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[pa.array(c, pa.binary()) for c in data]], names=["part", "rows", "weights", "x"])
 
 
-def _train(start: np.ndarray, tree: A.Tree, dtype: str):
+def _train(model, batch: int, dtype: str):
+    """Rows sorted by shard and place: each shard trains a copy of ``model``; the sums of the copies,
+    weighted, come out at the end."""
+
     def run(it):
         C.forget()
-        t, held, size = A.SubwordTrainer(start, tree), [], 0
+        sums: dict[int, list] = {}
+        start = A.Model(*model.value)
+        t, at, held, size = None, None, [], 0
+
+        def add(part, rows, weights, x):
+            total, weight = sums.setdefault(part, [np.zeros((PART if part else 1, x.shape[1])), np.zeros(PART if part else 1)])
+            total[rows] += x * weights[:, None]
+            weight[rows] += weights
+
+        def learn():
+            nonlocal held, size
+            if held:
+                t.learn(*t.model.windows(held)[:2])
+            held, size = [], 0
+
+        def close():
+            learn()
+            if t is not None and t.n:
+                add(0, np.zeros(1, int), np.array([float(t.n)]), t.model.flat[None])
+                for kind, (table, seen) in enumerate(zip((t.model.own, t.model.nodes), t.seen, strict=True)):
+                    met = np.flatnonzero(seen)
+                    for p in np.unique(met // PART).tolist():
+                        r = met[met // PART == p]
+                        add(1 + 2 * p + kind, r % PART, seen[r].astype(float), table[r])
+
         for b in it:
-            for s in (np.frombuffer(x, dtype) for x in b.column("ids").to_pylist()):
-                held.append(s)
-                size += len(s)
-                if size > 1 << 18:
-                    t.learn(*t.model.windows(held)[:2])
-                    held, size = [], 0
-        if held:
-            t.learn(*t.model.windows(held)[:2])
-        if t.tokens:
-            parts = [(0, [0], [t.tokens], t.model.flat)]
-            for kind, (table, seen) in enumerate(zip((t.model.own, t.model.nodes), t.seen, strict=True)):
-                met = np.flatnonzero(seen)
-                for p in np.unique(met // PART).tolist():
-                    r = met[met // PART == p]
-                    parts.append((1 + 2 * p + kind, r, seen[r], table[r]))
+            for shard, x in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                if shard != at:
+                    close()
+                    at, t = shard, A.Trainer(A.Model(start.flat, start.tree, start.own, start.nodes), batch)
+                held.append(np.frombuffer(x, dtype))
+                size += len(held[-1])
+                if size > CHUNK:
+                    learn()
+        close()
+        parts = []
+        for part, (total, weight) in sums.items():
+            r = np.flatnonzero(weight)
+            parts.append((part, r, weight[r], total[r]))
+        if parts:
             yield _means(parts)
 
     return run
@@ -148,9 +240,9 @@ def _mean(widths: tuple[int, int, int]):
             for part, rows, weights, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 width = widths[0 if part == 0 else 1 + (part - 1) % 2]
                 total, weight = sums.setdefault(part, (np.zeros((PART if part else 1, width)), np.zeros(PART if part else 1)))
-                r, w = np.frombuffer(rows, np.int32) % PART, np.frombuffer(weights, np.float64)
-                total[r] += np.frombuffer(x, np.float32).reshape(-1, width) * w[:, None]
-                weight[r] += w
+                r = np.frombuffer(rows, np.int32)
+                total[r] += np.frombuffer(x, np.float64).reshape(-1, width)
+                weight[r] += np.frombuffer(weights, np.float64)
         parts = []
         for part, (total, weight) in sums.items():
             r = np.flatnonzero(weight)
@@ -161,17 +253,17 @@ def _mean(widths: tuple[int, int, int]):
     return run
 
 
-def _score(model: tuple, dtype: str):
+def _score(model, dtype: str):
     def run(it):
         C.forget()
-        m = A.Subwords(*model)
+        m = A.Model(*model.value)
         for b in it:
             out = []
             raw = [np.frombuffer(x, dtype) for x in b.column("ids").to_pylist()]
             a = 0
             while a < len(raw):
                 z, size = a, 0
-                while z < len(raw) and (z == a or size + len(raw[z]) < 1 << 18):
+                while z < len(raw) and (z == a or size + len(raw[z]) < CHUNK):
                     size += len(raw[z])
                     z += 1
                 x, y, owner = m.windows(raw[a:z])
@@ -186,41 +278,86 @@ def _score(model: tuple, dtype: str):
 BASE_SQL = "doc_id long, text_hash long, held_out boolean, n_tokens long, head_n long, head_sum double, row long, tail array<long>, tail_n array<int>"
 
 
-def _base(head: dict[int, float]):
+def _base(keys: np.ndarray, values: np.ndarray, end: float):
+    """``keys``: the head words' hashes, sorted; ``values``: log10 of their counts + 1; ``end``: the end token's."""
+
+    def describe(new):
+        h = _lower_hashes(new)
+        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+        return h, np.where(keys[at] == h, values[at], -1.0) if len(keys) else np.full(len(h), -1.0)
+
     def run(it):
         from pyspark import TaskContext
 
-        class Values(dict):
-            def __missing__(self, word: bytes) -> float:
-                if len(self) >= VALUES:
-                    self.clear()
-                v = self[word] = head.get(xxhash.xxh64_intdigest(word), -1.0)
-                return v
-
         C.forget()
-        values, row = Values(), TaskContext.get().partitionId() << 36
+        numbers, row = Numbers(describe), TaskContext.get().partitionId() << 36
         for b in it:
-            cols: list[list] = [[] for _ in range(6)]
-            ids = b.column("doc_id").to_pylist()
-            for t in C.raw_texts(b):
-                w = t.lower().split()
-                w.append(END)
-                v = np.fromiter(map(values.__getitem__, w), np.float64, len(w))
+            out: list[list] = [[] for _ in range(6)]
+            texts = C.raw_texts(b)
+            for a, z in _groups(texts):
+                if len(numbers.at) > WORDS:
+                    numbers = Numbers(describe)
+                split = [t.split() for t in texts[a:z]]
+                n = np.fromiter(map(len, split), np.int64, z - a)
+                k = numbers.of(list(itertools.chain.from_iterable(split)))
+                del split
+                owner = np.repeat(np.arange(z - a), n)
+                h, v = (c.take(k) for c in numbers.columns) if len(k) else (np.zeros(0, np.uint64), np.zeros(0))
                 known = v >= 0
-                rare, k = np.unique(_hashes([w[i] for i in np.flatnonzero(~known).tolist()]), return_counts=True)
-                n = int(known.sum())
-                for c, x in zip(cols, (len(w), n, float(v[known].sum()), row, rare.view(np.int64), k.astype(np.int32)), strict=True):
+                head_n, head_sum = np.bincount(owner[known], minlength=z - a), np.bincount(owner[known], v[known], z - a)
+                owner, h = owner[~known], h[~known]
+                order = np.lexsort((h, owner))
+                owner, h = owner[order], h[order]
+                first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(h, prepend=h[:1]) != 0))
+                times = np.diff(first, append=len(h)).astype(np.int32)
+                for c, x in zip(out, (n + 1, head_n + (end >= 0), head_sum + max(end, 0.0), h[first].view(np.int64), np.bincount(owner[first], minlength=z - a), times), strict=True):
                     c.append(x)
-                row += 1
-            n, hn, hs, rows, tail, tn = cols
+            if not texts:
+                continue
+            n, head_n, head_sum, tail, sizes, times = map(np.concatenate, out)
+            bounds = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            rows = np.arange(row, row + len(texts))
+            row += len(texts)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(n, pa.int64()), pa.array(hn, pa.int64()), pa.array(hs, pa.float64()), pa.array(rows, pa.int64()), pa.array(tail, pa.list_(pa.int64())), pa.array(tn, pa.list_(pa.int32()))],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(list(map(held_out, b.column("doc_id").to_pylist())), pa.bool_()), *map(pa.array, (n, head_n, head_sum, rows)), *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (tail, times))],
                 names=["doc_id", "text_hash", "held_out", "n_tokens", "head_n", "head_sum", "row", "tail", "tail_n"],
             )
 
     return run
 
 
+def _long(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _fitted(codes: DataFrame, counts: np.ndarray, dtype: str) -> tuple:
+    """The model's parts (flat, tree, own, nodes) from the training rows of ``codes`` and the
+    subwords' counts in them."""
+    spark = codes.sparkSession
+    tree = A.Tree(counts)
+    m = A.Model(A.initial(tree.share), tree)
+    model = (m.flat, tree, m.own, m.nodes)
+    widths = (A.SIZE, m.own.shape[1], m.nodes.shape[1])
+    shards = max(1, -(-int(counts.sum()) // SHARD))
+    place = F.xxhash64("text_hash", "doc_id", F.lit(1))
+    rows = codes.where("kind = 0 and not held_out").select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).alias("shard"), place.alias("place"), "doc_id", "text_hash", "ids")
+    order = ["shard", "place", "doc_id", "text_hash"]
+    for part, batch in ((rows.where("shard = 0").repartition(1), A.FIRST_BATCH), (rows.where("shard > 0").repartition(min(shards, TASKS), "shard"), A.BATCH)):
+        sent = spark.sparkContext.broadcast(model)
+        sums = part.sortWithinPartitions(*order).select("shard", "ids").mapInArrow(_train(sent, batch, dtype), MEANS_SQL)
+        flat, _, own, nodes = (x.copy() if isinstance(x, np.ndarray) else x for x in model)
+        for number, at, _, x in sums.repartition(PARTS, "part").mapInArrow(_mean(widths), MEANS_SQL).collect():
+            x = np.frombuffer(x, np.float64)
+            if number == 0:
+                flat[:] = x
+            else:
+                (own, nodes)[(number - 1) % 2][np.frombuffer(at, np.int32)] = x.reshape(-1, widths[1 + (number - 1) % 2])
+        model = (flat, tree, own, nodes)
+        if shards == 1:
+            break
+    return model
+
+
 def scores(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
@@ -230,38 +367,32 @@ def scores(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """
     from tokenizers import Tokenizer
 
-    C.prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    C.prepare(spark)
     size = Tokenizer.from_file(tokenizer).get_vocab_size()
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     rows = C.id_text(docs, F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    codes = C.written(rows.mapInArrow(_encode(tokenizer, end_id, size), CODES_SQL), "codes")
+    codes = C.written(rows.mapInArrow(_encode(tokenizer, end_id, size), CODES_SQL), "codes", compression="zstd")
     counts = C.written(codes.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).collect()[0]
-    top = counts.orderBy(F.desc("c"), "key").limit(HEAD).collect()
-    head = {r[0] % (1 << 64): float(np.log10(r[1] + 1.0)) for r in top}
+    top = counts.where(F.col("key") != F.lit(_long(END))).orderBy(F.desc("c"), "key").limit(HEAD).collect()
+    keys, values = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([np.log10(r[1] + 1.0) for r in top])
+    order = np.argsort(keys)
+    ends = counts.where(F.col("key") == F.lit(_long(END))).collect()
+    end = float(np.log10(ends[0][1] + 1.0)) if ends else -1.0
 
     sub = np.zeros(size, np.int64)
     for k, n in codes.where("kind = 2").groupBy("key").agg(F.sum("n")).collect():
         sub[k] = n
-    tree = A.Tree(sub)
-    start = A.initial(tree.share)
-    first = A.Subwords(start, tree)
-    flat, own, nodes = first.flat, first.own, first.nodes
-    widths = (A.SIZE, own.shape[1], nodes.shape[1])
-    train = codes.where("kind = 0 and not held_out").select("ids").mapInArrow(_train(start, tree, dtype), MEANS_SQL)
-    for part, rows_of, _, x in train.repartition(PARTS, "part").mapInArrow(_mean(widths), MEANS_SQL).collect():
-        if part == 0:
-            flat[:] = np.frombuffer(x, np.float32)
-        else:
-            (own, nodes)[(part - 1) % 2][np.frombuffer(rows_of, np.int32)] = np.frombuffer(x, np.float32).reshape(-1, widths[1 + (part - 1) % 2])
-    model = codes.where("kind = 0").select("doc_id", "text_hash", "ids").mapInArrow(_score((flat, tree, own, nodes), dtype), "doc_id long, text_hash long, score double")
-    model = model.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("score").alias("score"))
-
-    base = C.written(rows.mapInArrow(_base(head), BASE_SQL), "base")
+    model = spark.sparkContext.broadcast(_fitted(codes, sub, dtype))
+    own = codes.where("kind = 0").select("doc_id", "text_hash", "ids").mapInArrow(_score(model, dtype), "doc_id long, text_hash long, score double")
+    own = own.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("score").alias("score"))
+
+    base = C.written(rows.mapInArrow(_base(keys[order], values[order], end), BASE_SQL), "base")
     tail = base.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("key"), F.col("t.tail_n").alias("k"))
     rare = tail.join(counts, "key").groupBy("row").agg(F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_sum"))
     out = base.drop("tail", "tail_n").join(rare, "row", "left").fillna(0, ["tail_known", "tail_sum"])
-    out = out.join(model, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    out = out.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     per = float(np.log10(total + 1.0 * (distinct + 1)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("head_n") + F.col("tail_known")).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("head_sum") + F.col("tail_sum") - F.col("n_tokens") * F.lit(per)).alias("base_score"), "score"

@@ -252,83 +252,106 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0
 
 
+def bigram(train, held, vocab, discount=0.75):
+    """Mean log probability of held-out ids by a bigram model with absolute discounting that backs off to shares."""
+    counts = np.bincount(np.concatenate(train), minlength=vocab) + 0.5
+    pairs, after = collections.Counter(), collections.defaultdict(list)
+    for x in train:
+        pairs.update(zip([vocab, *x[:-1].tolist()], x.tolist(), strict=True))
+    for (a, _), n in pairs.items():
+        after[a].append(n)
+    seen = {a: (sum(n), len(n)) for a, n in after.items()}
+    share, total = counts / counts.sum(), 0.0
+    for x in held:
+        for a, y in zip([vocab, *x[:-1].tolist()], x.tolist(), strict=True):
+            n, kinds = seen.get(a, (0, 0))
+            total += math.log((max(pairs[a, y] - discount, 0) + discount * kinds * share[y]) / n if n else share[y])
+    return total / sum(map(len, held))
+
+
 def test_lm_base(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     toks = {r[0]: [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")), None] for r in rows}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in toks}
     c = collections.Counter(w for d, t in toks.items() if not held[d] for w in t)
     n, v = sum(c.values()), len(c)
-    old, lm_score.HEAD = lm_score.HEAD, 300
+    old, lm_score.HEAD, lm_score.WORDS, lm_score.GROUP = (lm_score.HEAD, lm_score.WORDS, lm_score.GROUP), 300, 2000, 30_000
     got = {r["doc_id"]: r for r in registry.QUERIES["op8_lm_score"](spark, SF).collect()}
-    lm_score.HEAD = old
+    lm_score.HEAD, lm_score.WORDS, lm_score.GROUP = old
     assert len(got) == len(toks)
     for d, t in toks.items():
         g = got[d]
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[d], len(t), sum(w in c for w in t), n)
         assert abs(g["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6 * len(t)
         assert g["score"] < 0
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(WORD)
-    ids = {r[0]: [*tok.encode(r[1] or "", add_special_tokens=False).ids, 49407] for r in rows}
-    freq = np.bincount([i for d, x in ids.items() if not held[d] for i in x], minlength=tok.get_vocab_size()) + 0.5
-    alone = sum(math.log10(freq[i] / freq.sum()) for d, x in ids.items() if held[d] for i in x)
-    assert sum(g["score"] for g in got.values() if g["held_out"]) > alone  # context helps on texts not learnt from
     odd = lm_score.scores(odd_docs(spark), WORD, 49407).collect()
     assert len(odd) == 11 and all(math.isfinite(r["score"]) for r in odd)
     assert lm_score.scores(empty_docs(spark), WORD, 49407).count() == 0
 
 
-def test_attention():
-    rnd = np.random.default_rng(3)
-    seqs = [rnd.integers(0, attention.CLASSES, n).astype(np.uint8) for n in (1, 8, 9, 40)]
-    x, y, owner = attention.windows(seqs)
-    m = attention.Model(attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES)))
-    lp = m.log_probs(x, y)
-    assert (y < attention.CLASSES).sum() == 58 and np.bincount(owner).tolist() == [1, 1, 2, 5]
-    for s in (3,):  # one position by hand, with no batch and no table
-        k, p = 20, m.p
-        ctx = [attention.BOS, *seqs[s][: k].tolist()]
-        lo = (k // attention.STRIDE) * attention.STRIDE - attention.BACK
-        seen = range(max(lo, 0), k + 1)
-        q = p["q"][ctx[k]]
-        a = np.array([math.exp(q @ p["k"][ctx[j]] / math.sqrt(attention.DIM) + p["b"][k - j]) for j in seen])
-        h = np.tanh((a / a.sum()) @ p["v"][[ctx[j] for j in seen]] + p["r"][ctx[k]])
-        z = h @ p["o"] + p["c"]
-        want = z[seqs[s][k]] - math.log(np.exp(z).sum())
-        w = np.flatnonzero(owner == s)[k // attention.STRIDE]
-        assert abs(lp[w, k % attention.STRIDE] - want) < 1e-4
-    flip = [s.copy() for s in seqs]
-    flip[3][21:] = (flip[3][21:] + 1) % attention.CLASSES
-    assert np.allclose(m.log_probs(*attention.windows(flip)[:2])[owner == 3].ravel()[:21], lp[owner == 3].ravel()[:21], atol=1e-6)
-    pattern = [np.tile(np.arange(12, dtype=np.uint8), 30) for _ in range(60)]
-    t = attention.Trainer(attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES)))
-    for _ in range(40):
-        t.learn(*attention.windows(pattern)[:2])
-    x, y, _ = attention.windows(pattern[:1])
-    assert t.model.log_probs(x, y).sum() / 360 > -0.7 > m.log_probs(x, y).sum() / 360
+def test_lm_encode(spark, docs):
+    """The subword ids of every text are the library's."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD)
+    rows = docs.select("doc_id", "text").union(odd_docs(spark).where("doc_id is not null").selectExpr("doc_id + 10000000", "text")).withColumn("text_hash", F.lit(0).cast("bigint"))
+    codes = rows.mapInArrow(lm_score._encode(WORD, 49407, tok.get_vocab_size()), lm_score.CODES_SQL).where("kind = 0").collect()
+    want = collections.Counter((r["doc_id"], tuple([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 49407])) for r in rows.collect())
+    assert collections.Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u2").tolist())) for r in codes) == want
+
+
+def test_lm_beats_bigram(spark, monkeypatch):
+    """Held-out subwords: better than a bigram model with back-off; the same scores however the rows lie."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(lm_score, "SHARD", 250_000)  # several shards, so copies are averaged
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in lm_score.scores(docs, WORD, 49407).collect()}
+    again = {r["doc_id"]: r["score"] for r in lm_score.scores(docs.repartition(5), WORD, 49407).collect()}
+    assert all(abs(got[d] - again[d]) <= 1e-4 + 1e-6 * abs(got[d]) for d in got) and len(got) == len(again)
+    tok = Tokenizer.from_file(WORD)
+    ids = {r["doc_id"]: np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 49407]) for r in docs.collect()}
+    train, held = [x for d, x in ids.items() if not lm_score.held_out(d)], [d for d in ids if lm_score.held_out(d)]
+    own = sum(got[d] for d in held) * math.log(10) / sum(len(ids[d]) for d in held)
+    assert own > bigram(train, [ids[d] for d in held], tok.get_vocab_size()) + 0.02
 
 
-def test_attention_subwords():
+def test_attention():
     rnd = np.random.default_rng(4)
     vocab = 300
     tree = attention.Tree(rnd.integers(0, 2000, vocab) // np.arange(1, vocab + 1))
-    t = attention.SubwordTrainer(attention.initial(tree.share), tree)
-    a, b = np.flatnonzero(tree.cls[:vocab] == tree.cls[vocab - 1])[:2].tolist()  # two rare subwords of one class
-    c, d = np.flatnonzero(tree.cls[:vocab] == tree.cls[a])[2:4].tolist()
-    pairs = [np.array([x, y] * 30) for x, y in ((a, c), (b, d))] * 30
-    for _ in range(150):
-        t.learn(*t.model.windows(pairs)[:2])
+    t = attention.Trainer(attention.Model(attention.initial(tree.share), tree))
     m = t.model
-    lp = lambda s: float(m.log_probs(*m.windows([np.array(s)])[:2]).sum())
-    assert lp([a, c] * 10) > lp([a, d] * 10) + 10 and lp([b, d] * 10) > lp([b, c] * 10) + 10  # classes alone cannot tell
-    h = m.context(m.windows([np.array([a, c, a, 5, 7])])[0])[-1][4:5]
-    assert abs(np.exp(m.output(np.repeat(h, vocab, 0), np.arange(vocab))[0]).sum() - 1) < 1e-4
+    seqs = [rnd.integers(0, vocab, n) for n in (1, 8, 9, 16, 17, 70)]
+    x, y, owner = m.windows(seqs)
+    assert (y != m.pad).sum() == 121 and np.bincount(owner).tolist() == [1, 1, 1, 1, 2, 5]
+    m.own[:], m.nodes[:] = rnd.standard_normal(m.own.shape) * 0.3, rnd.standard_normal(m.nodes.shape) * 0.3
+    lp, p, k = m.log_probs(x, y), m.p, 40
+    ctx = [m.bos, *seqs[5][:k].tolist()]  # one position by hand, with no batch and no table
+    e = [p["e"][tree.cls[i]] + m.own[i] for i in ctx]
+    first = k // attention.STRIDE * attention.STRIDE - attention.BACK
+    q = e[k] @ p["q"]
+    a = {j: math.exp(q @ (e[j] @ p["k"]) / math.sqrt(attention.KEY) + p["b"][k - j]) for j in range(max(first, 0), k + 1)}
+    h = np.append(np.tanh(sum(w * (e[j] @ p["v"]) for j, w in a.items()) / sum(a.values()) + e[k] @ p["r"]), 1)
+
+    def by_hand(y):
+        z = h @ p["o"]
+        out = z[tree.cls[y]] - math.log(np.exp(z).sum())
+        for s in range(tree.first[y], tree.first[y] + tree.size[y]):
+            out -= math.log(1 + math.exp(-tree.side[s] * (m.nodes[tree.node[s]] @ h[attention.DIM - attention.SEEN :])))
+        return out
+
+    w = np.flatnonzero(owner == 5)[k // attention.STRIDE]
+    assert abs(lp[w, k % attention.STRIDE] - by_hand(seqs[5][k])) < 1e-4
+    assert abs(sum(math.exp(by_hand(y)) for y in range(vocab)) - 1) < 1e-4  # a distribution over all subwords
+    flip = [s.copy() for s in seqs]
+    flip[5][41:] = (flip[5][41:] + 1) % vocab
+    assert np.allclose(m.log_probs(*m.windows(flip)[:2])[owner == 5].ravel()[:41], lp[owner == 5].ravel()[:41], atol=1e-5)
     x, y, _ = m.windows([rnd.integers(0, vocab, n) for n in (1, 9, 30)])
     loss = lambda: -m.log_probs(x, y).sum() / 40
     flat, own, nodes = m.gradients(x, y)
-    for table, g in [(m.flat, zip(range(attention.SIZE), flat, strict=True))] + [(tab, ((r, gr) for r, gr in zip(rows, grads, strict=True))) for tab, (rows, grads, _) in ((m.own, own), (m.nodes, nodes))]:
-        for r, gr in list(g)[:: 11]:
+    for table, g in [(m.flat, zip(range(attention.SIZE), flat, strict=True))] + [(tab, zip(rows, grads, strict=True)) for tab, (rows, grads) in ((m.own, own), (m.nodes, nodes))]:
+        for r, gr in list(g)[::11]:
             at = (r, 3) if table.ndim == 2 else r
             want, old = float(gr[3] if table.ndim == 2 else gr), table[at]
             table[at] = old + 1e-2
@@ -338,6 +361,19 @@ def test_attention_subwords():
             table[at] = old
 
 
+def test_attention_learns():
+    rnd = np.random.default_rng(5)
+    tree = attention.Tree(rnd.integers(0, 2000, 300) // np.arange(1, 301))
+    t = attention.Trainer(attention.Model(attention.initial(tree.share), tree))
+    a, b, c, d = np.flatnonzero(tree.cls[:300] == tree.cls[299])[:4].tolist()  # rare subwords of one class
+    pairs = [np.array([x, y] * 30) for x, y in ((a, c), (b, d))] * 30
+    for _ in range(150):
+        t.learn(*t.model.windows(pairs)[:2])
+    m = t.model
+    lp = lambda s: float(m.log_probs(*m.windows([np.array(s)])[:2]).sum())
+    assert lp([a, c] * 10) > lp([a, d] * 10) + 10 and lp([b, d] * 10) > lp([b, c] * 10) + 10  # classes alone cannot tell
+
+
 def test_components(spark):
     rnd = rng(11)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(50)] + [(7, 7)]
