@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumweave.functions import u64
+from sumweave.plans.model import Filter
 from sumweave.sources import colbin
 
 #: The sampled distinct count looks at about this many rows of a relation.
@@ -21,9 +23,17 @@ class Catalog:
         self.spark, self.views = spark, views
         self._relations: dict[int, DataFrame] = {}
         self._max: dict[tuple[int, int], int] = {}
+        self._keys: dict[int, tuple[frozenset[int], ...]] = {}
+        self._narrowed: dict[int, Callable[[Sequence[Filter]], DataFrame]] = {}
 
-    def add(self, df: DataFrame, relation: int | None = None) -> int:
+    def add(self, df: DataFrame, relation: int | None = None, keys: Sequence[Sequence[int]] = (), narrowed: Callable[[Sequence[Filter]], DataFrame] | None = None) -> int:
+        """``keys``: sets of columns no two rows agree in, as far as declared (plans are chosen by them,
+        results don't depend on it). ``narrowed`` gives the relation without some of the rows that
+        constant filters drop, where its columns are computed from stored ones a scan can prune by."""
         rid = len(self._relations) if relation is None else relation
+        self._keys[rid] = tuple(map(frozenset, keys))
+        if narrowed:
+            self._narrowed[rid] = narrowed
         df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
         self._relations[rid] = df
         if self.views:
@@ -54,6 +64,14 @@ class Catalog:
             raise KeyError(f"no relation {rid}; there are {sorted(self._relations)}")
         return self._relations[rid]
 
+    def narrowed(self, rid: int, filters: Sequence[Filter]) -> DataFrame:
+        """A relation, perhaps without rows that the filters drop (which are still to be applied)."""
+        return self._narrowed[rid](filters) if filters and rid in self._narrowed else self.relation(rid)
+
+    def unique(self, rid: int, columns: set[int]) -> bool:
+        """Whether a declared key is among the columns."""
+        return any(k <= columns for k in self._keys.get(rid, ()))
+
     def __len__(self) -> int:
         return len(self._relations)
 
@@ -90,11 +108,13 @@ class Catalog:
         return df.where(F.col(row_column) % k == 0).agg(*[F.count_distinct(c).alias(c) for c in df.columns])
 
     def analyze(self, workers: int = 4) -> None:
-        """Collect each relation's maxima (one small row a column), several relations at a time;
+        """Collect each relation's maxima (one row), several relations at a time;
         filters on columns proven below 2**63 are then plain comparisons."""
         def one(rid: int) -> None:
-            for r in self.statistics(rid).collect():
-                self._max[rid, r["col"]] = int(r["max_value"])
+            df = self.relation(rid)
+            if df.columns:
+                for i, v in enumerate(df.agg(*[F.max(u64.ordered(F.col(c))) for c in df.columns]).collect()[0]):
+                    self._max[rid, i] = 0 if v is None else v + u64.TOP
 
         with ThreadPoolExecutor(workers) as pool:
             list(pool.map(one, self._relations))

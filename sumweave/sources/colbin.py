@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import LongType, StructField, StructType
 
 #: Rows to a partition when reading and to a file when writing.
@@ -86,7 +86,7 @@ class _Written(WriterCommitMessage):
     files: list
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Files get their names when they are whole; a failed attempt's are removed by ``abort``, and
     only the committed ones are listed to readers, under the ``.colbin`` ending."""
 
@@ -96,33 +96,37 @@ class _Writer(DataSourceWriter):
     def write(self, iterator):
         fs, root = _open(self.path)
         fs.create_dir(root)
-        files, rows = [], []
+        files, held, n = [], [], 0
 
         def flush():
             name = f"{root}/{uuid.uuid4().hex}.tmp"
-            data = np.array(rows, dtype=np.int64).reshape(len(rows), self.cols)
             with fs.open_output_stream(name) as f:
-                f.write(np.array([len(rows), self.cols], "<u8").tobytes())
+                f.write(np.array([n, self.cols], "<u8").tobytes())
                 for k in range(self.cols):
-                    f.write(np.ascontiguousarray(data[:, k]).astype("<i8").tobytes())
+                    for b in held:
+                        if b.column(k).null_count:
+                            raise ValueError(f"column {k} holds a null")
+                        f.write(b.column(k).to_numpy(zero_copy_only=False).astype("<i8", copy=False).tobytes())
             files.append(name)
-            rows.clear()
 
-        for r in iterator:
-            rows.append(tuple(r))
-            if len(rows) >= ROWS:
+        for b in iterator:
+            held.append(b)
+            n += b.num_rows
+            if n >= ROWS:
                 flush()
-        if rows or not files:
+                held, n = [], 0
+        if n or not files:
             flush()
         return _Written(files)
 
     def commit(self, messages):
+        """New files come in before old ones go, so a crash between leaves rows twice, never none."""
         fs, root = _open(self.path)
-        if self.overwrite:
-            for f in _files(self.path):
-                fs.delete_file(f)
+        old = _files(self.path) if self.overwrite else []
         for i, f in enumerate(f for m in messages if m for f in m.files):
             fs.move(f, f"{root}/part-{i:06d}-{uuid.uuid4().hex[:8]}.colbin")
+        for f in old:
+            fs.delete_file(f)
 
     def abort(self, messages):
         fs, _ = _open(self.path)
@@ -156,7 +160,7 @@ def read(spark: SparkSession, path: str, rows: int = ROWS) -> DataFrame:
 
 
 def write(df: DataFrame, path: str) -> None:
-    """BIGINT columns (unsigned bits) to a folder of column files; nulls are rejected by numpy."""
+    """BIGINT columns (unsigned bits) to a folder of column files; nulls are rejected."""
     df.sparkSession.dataSource.register(ColbinSource)
     df.write.format("colbin").mode("append").save(path)
 

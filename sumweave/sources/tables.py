@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
+from sumweave.functions import u64
 from sumweave.sources.catalog import Catalog
 
 #: relation id -> (table, its columns: a name, or (kind, name))
@@ -33,25 +33,66 @@ def select_list(rid: int, dialect: str) -> str:
     return ", ".join(f"{_form(dialect, c)} AS c{i}" for i, c in enumerate(RELATIONS[rid][1]))
 
 
-#: Path -> schema. A table's schema is fixed, and reading it from a footer takes a job.
-_SCHEMAS: dict[str, StructType] = {}
+#: relation id -> its keys (sets of columns no two rows agree in)
+KEYS = {0: [[0]], 1: [[0]], 2: [[0]], 3: [[0]], 4: [[0]], 5: [[0]], 6: [[0, 3]], 7: [[0]]}
 
 
-def _opened(spark: SparkSession, path: str) -> DataFrame:
-    """A table with its files listed now and its schema as it was first read."""
-    if path in _SCHEMAS:
-        return spark.read.schema(_SCHEMAS[path]).parquet(path)
-    df = spark.read.parquet(path)
-    _SCHEMAS[path] = df.schema
-    return df
+def _bounds(c, low: int | None, high: int | None) -> str:
+    """A condition on the stored column that every row whose value is within the bounds meets."""
+    kind, name = ("whole", c) if isinstance(c, str) else c
+    least, most = {
+        "whole": (lambda v: f"{name} > {v - 1}", lambda v: f"{name} < {v + 1}"),
+        "cents": (lambda v: f"{name} > {(v - 1) / 100!r}D", lambda v: f"{name} < {(v + 1) / 100!r}D"),
+        "day": (lambda v: f"{name} >= CAST(date_from_unix_date({v}) AS TIMESTAMP)", lambda v: f"{name} < CAST(date_from_unix_date({v + 1}) AS TIMESTAMP)"),
+        "us": (lambda v: f"{name} >= timestamp_micros({v})", lambda v: f"{name} <= timestamp_micros({v})"),
+    }[kind]
+    return " AND ".join([*([least(low)] if low is not None else []), *([most(high)] if high is not None else [])]) or "true"
 
 
-def catalog(spark: SparkSession, sf_dir: str, relations=None) -> Catalog:
+#: Bounds beyond this are left to the filter itself (dates end before).
+FAR = {"day": 1_000_000, "us": 1 << 55, "cents": 1 << 50, "whole": 1 << 50}
+
+
+def _implied(c, op: str, constant: int) -> str | None:
+    kind = "whole" if isinstance(c, str) else c[0]
+    spans = u64.ranges(op, constant)
+    if any(v is not None and abs(v) > FAR[kind] for span in spans for v in span):
+        return None
+    return " OR ".join(f"({_bounds(c, *span)})" for span in spans)
+
+
+#: (application, path) -> (what was listed there, the table)
+_OPEN: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+
+
+def _listed(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of a table's files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(p)))
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """A table; it is opened anew where its files have changed."""
+    key, now = (spark.sparkContext.applicationId, path), _listed(spark, path)
+    if key not in _OPEN or _OPEN[key][0] != now:
+        _OPEN[key] = now, spark.read.parquet(path)
+    return _OPEN[key][1]
+
+
+def catalog(spark: SparkSession, sf_dir: str, relations=None, views: bool = False) -> Catalog:
     """A catalog over ``sf_dir``; only the wanted relations are opened."""
-    cat = Catalog(spark, views=False)
+    cat = Catalog(spark, views)
     for rid in RELATIONS if relations is None else sorted(set(relations)):
-        df = _opened(spark, f"{sf_dir}/{RELATIONS[rid][0]}.parquet")
-        cat.add(df.selectExpr(*[f"{_form('spark', c)} AS c{i}" for i, c in enumerate(RELATIONS[rid][1])]), rid)
+        table, columns = RELATIONS[rid]
+        df = opened(spark, f"{sf_dir}/{table}.parquet")
+        exprs = [f"{_form('spark', c)} AS c{i}" for i, c in enumerate(columns)]
+
+        def narrowed(filters, df=df, columns=columns, exprs=exprs):
+            implied = [x for f in filters if (x := _implied(columns[f.col.column], f.op, f.constant))]
+            return df.where(" AND ".join(f"({x})" for x in implied) or "true").selectExpr(*exprs)
+
+        cat.add(df.selectExpr(*exprs), rid, KEYS[rid], narrowed)
     return cat
 
 
