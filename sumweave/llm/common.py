@@ -7,48 +7,87 @@ Words are the maximal runs of bytes outside 0x20 and 0x09-0x0D, so ``bytes.split
 from __future__ import annotations
 
 import array
+import contextlib
+import glob
+import io
 import itertools
 import json
 import os
 import re
-import tempfile
-import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumweave.sources import shared
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Entries a worker's caches hold before they start afresh (a memory bound; results don't depend on it).
 CACHE = 1_000_000
-#: Rows to an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows and bytes to an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def prepare(spark: SparkSession) -> str:
-    """The shared folder (``spark.checkpoint.dir``; a temporary one is set only where it is unset).
-    Also puts this repository on the Python path of workers on this machine, and has rows go to
-    them in batches small enough for long texts."""
+    """The shared folder. Also has workers find this package, and has rows go to them in batches that
+    are bounded in rows and bytes (a session's own smaller bounds stay)."""
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc.environment["PYTHONPATH"] = ROOT
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/") if "://" in base or base.startswith("/") else "file://" + os.path.abspath(base)
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{prepare(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, **options) -> DataFrame:
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    base = shared.folder(spark)
+    if sc.master.startswith("local"):  # workers on this machine
+        sc.environment["PYTHONPATH"] = ROOT
+    elif sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name in glob.glob("sumweave/**/*.py", root_dir=ROOT, recursive=True):
+                z.write(f"{ROOT}/{name}", name)
+        fs, root = pafs.FileSystem.from_uri(base)
+        fs.create_dir(root)
+        with fs.open_output_stream(f"{root}/sumweave-{sc.applicationId}.zip") as f:
+            f.write(data.getvalue())
+        sc.addPyFile(f"{base}/sumweave-{sc.applicationId}.zip")
+    return base
+
+
+_SHIPPED: set[str] = set()
+_SCRATCH: list[list[str]] = []
+
+
+def fresh(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; inside ``scratch`` it goes with it, unless it is to be kept."""
+    prepare(spark)
+    path = shared.fresh(spark, name)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the tables written within: for steps whose result is itself written (with
+    ``keep``) by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        paths = _SCRATCH.pop()
+        conf = spark._jsc.hadoopConfiguration()
+        for path in paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
     """The rows as a table in the shared folder: it cuts lineage and outlives lost executors."""
-    path = fresh(df.sparkSession, name)
+    path = fresh(df.sparkSession, name, keep)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
