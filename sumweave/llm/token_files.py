@@ -271,7 +271,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    path = path or C.fresh(spark, "tokens")
+    path = path or C.fresh(spark, "tokens", keep=True)
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
     entries = write(docs, path, tokenizer, end_id)
     back = read(entries, path, entries.count(), width)
