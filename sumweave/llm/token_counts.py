@@ -1,10 +1,13 @@
 """Edit-aware token counts.
 
 A document keeps its pre-tokens in a segment tree: leaves are short runs of pre-tokens with their
-lengths and token counts, inner nodes hold sums of both. An edit is located by descending on
-lengths; only the pre-tokens it touches and a few characters of context before them are cut
-anew, up to where the cut meets an old border behind the edit; then the leaf's sums and those of
-its ancestors are updated. The total is the root's.
+text, lengths and token counts, inner nodes hold sums of the latter two. An edit is located by
+descending on lengths; only the pre-tokens it touches and a few characters of context before them
+are cut anew, up to where the cut meets an old border behind the edit; then the leaf's sums and
+those of its ancestors are updated. The total is the root's. No step touches the whole text.
+
+A special token's string in a text is ordinary text and counts as such (the library's
+``encode_special_tokens``), so a document cannot pass for a control token.
 """
 
 from __future__ import annotations
@@ -59,21 +62,30 @@ class Tree:
     """A document's pre-tokens under a segment tree of (characters, tokens) sums."""
 
     def __init__(self, text: str, counter: Counter):
-        self.text, self.counter, self.recut = text, counter, 0
+        self.counter, self.recut = counter, 0
         pieces = counter.cut.findall(text)
-        self._plant(list(map(len, pieces)), counter.of(pieces))
+        self._plant(pieces, counter.of(pieces))
 
-    def _plant(self, lengths: list[int], counts: list[int]) -> None:
-        self.leaves = [(lengths[a : a + LEAF], counts[a : a + LEAF]) for a in range(0, len(lengths), LEAF)] or [([], [])]
+    def _plant(self, pieces: list[str], counts: list[int]) -> None:
+        parts = [(pieces[a : a + LEAF], counts[a : a + LEAF]) for a in range(0, len(pieces), LEAF)] or [([], [])]
+        self.leaves = [("".join(p), list(map(len, p)), c) for p, c in parts]
         size = 1
         while size < len(self.leaves):
             size *= 2
         self.size, self.chars, self.tokens = size, [0] * (2 * size), [0] * (2 * size)
-        for k, (n, c) in enumerate(self.leaves):
-            self.chars[size + k], self.tokens[size + k] = sum(n), sum(c)
+        for k, (text, _, c) in enumerate(self.leaves):
+            self.chars[size + k], self.tokens[size + k] = len(text), sum(c)
         for k in range(size - 1, 0, -1):
             self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
 
+    @property
+    def text(self) -> str:
+        return "".join(t for t, _, _ in self.leaves)
+
+    @property
+    def n_chars(self) -> int:
+        return self.chars[1]
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -90,62 +102,74 @@ class Tree:
 
     def _update(self, leaf: int) -> None:
         k = self.size + leaf
-        self.chars[k], self.tokens[k] = sum(self.leaves[leaf][0]), sum(self.leaves[leaf][1])
+        text, _, counts = self.leaves[leaf]
+        self.chars[k], self.tokens[k] = len(text), sum(counts)
         while k > 1:
             k //= 2
             self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace characters [start, end); positions are clipped to the text."""
-        start = min(max(start, 0), len(self.text))
-        end = min(max(end, start), len(self.text))
+        leaves = self.leaves
+        start = min(max(start, 0), self.n_chars)
+        end = min(max(end, start), self.n_chars)
         shift = len(new) - (end - start)
-        text = self.text = self.text[:start] + new + self.text[end:]
         first, base = self._leaf(max(0, start - LOOK))
-        lengths, _ = self.leaves[first]
-        k, at = 0, base
-        while k < len(lengths) and at + lengths[k] <= start - LOOK:
-            at += lengths[k]
-            k += 1
-        head, since = k, at
-        # old borders from here on, shifted to the new text
-        leaf, i, old = first, k, at
-        cut, cuts = self.counter.cut, []
-        pos = at
+        text, lengths, counts = leaves[first]
+        head, at = 0, base
+        while head < len(lengths) and at + lengths[head] <= start - LOOK:
+            at += lengths[head]
+            head += 1
+        # the text from ``at`` on, leaf by leaf as far as it is needed
+        local, have = text[at - base :], first
+        while at + len(local) < end:
+            have += 1
+            local += leaves[have][0]
+        local = local[: start - at] + new + local[end - at :]
+        # old borders from here on: ``old`` is one, in front of pre-token i of ``leaf``
+        leaf, i, old = first, head, at
+        cut, cuts, pos = self.counter.cut, [], 0
         while True:
-            while old < end or old + shift < pos:
-                if leaf >= len(self.leaves):
-                    break
-                if i >= len(self.leaves[leaf][0]):
+            while (old < end or old + shift < at + pos) and leaf < len(leaves):
+                if i >= len(leaves[leaf][1]):
                     leaf, i = leaf + 1, 0
-                    continue
-                old += self.leaves[leaf][0][i]
-                i += 1
-            if old >= end and old + shift == pos and pos >= start + len(new):
+                else:
+                    old += leaves[leaf][1][i]
+                    i += 1
+            if old >= end and old + shift == at + pos and at + pos >= start + len(new):
                 break
-            if pos >= len(text):
+            m = cut.match(local, pos)
+            while (m is None or m.end() > len(local) - LOOK) and have + 1 < len(leaves):
+                have += 1
+                local += leaves[have][0]
+                m = cut.match(local, pos)
+            if m is None:
                 break
-            m = cut.match(text, pos)
             cuts.append(m[0])
             pos = m.end()
-        self.recut += pos - since
-        new_lengths, new_counts = list(map(len, cuts)), self.counter.of(cuts)
-        if leaf >= len(self.leaves):
-            leaf, i = len(self.leaves) - 1, len(self.leaves[-1][0])
-        rest = self.leaves[leaf][0][i:], self.leaves[leaf][1][i:]
-        own = self.leaves[first]
-        merged = own[0][:head] + new_lengths, own[1][:head] + new_counts
+        self.recut += pos
+        if leaf >= len(leaves):
+            leaf, i = len(leaves) - 1, len(leaves[-1][1])
+        rest_text, rest_lengths, rest_counts = leaves[leaf]
+        rest = rest_text[sum(rest_lengths[:i]) :], rest_lengths[i:], rest_counts[i:]
+        own = text[: at - base] + "".join(cuts), lengths[:head] + list(map(len, cuts)), counts[:head] + self.counter.of(cuts)
         if leaf == first:
-            self.leaves[first] = merged[0] + rest[0], merged[1] + rest[1]
+            leaves[first] = own[0] + rest[0], own[1] + rest[1], own[2] + rest[2]
         else:
-            self.leaves[first], self.leaves[leaf] = merged, rest
+            leaves[first], leaves[leaf] = own, rest
             for x in range(first + 1, leaf):
-                self.leaves[x] = [], []
+                leaves[x] = "", [], []
                 self._update(x)
             self._update(leaf)
         self._update(first)
-        if len(self.leaves[first][0]) > 8 * LEAF:
-            self._plant([n for x, _ in self.leaves for n in x], [c for _, x in self.leaves for c in x])
+        if len(leaves[first][1]) > 8 * LEAF:
+            pieces = []
+            for t, sizes, _ in leaves:
+                a = 0
+                for n in sizes:
+                    pieces.append(t[a : a + n])
+                    a += n
+            self._plant(pieces, [c for _, _, x in leaves for c in x])
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -159,11 +183,11 @@ def _count(path: str):
             out = {c: [] for c in COUNTS.names}
             for d, t, edits in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("edits").to_pylist(), strict=True):
                 tree = Tree(t or "", counter)
-                before, chars = tree.total, len(tree.text)
+                before, chars = tree.total, tree.n_chars
                 for e in edits or ():
                     if e is not None:
                         tree.edit(e["start"] or 0, e["start"] or 0 if e["end"] is None else e["end"], e["new"] or "")
-                for c, v in zip(COUNTS.names, (d, before, tree.total, chars, len(tree.text), len(edits or ()), tree.recut), strict=True):
+                for c, v in zip(COUNTS.names, (d, before, tree.total, chars, tree.n_chars, len(edits or ()), tree.recut), strict=True):
                     out[c].append(v)
             yield C.batches(out, COUNTS)
 
