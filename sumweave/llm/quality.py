@@ -1,10 +1,11 @@
 """Quality rules: base measures of each text and cross-document line frequency.
 
 Lines are normalised (A-Z lowered, digits to 0, white space to single spaces) and hashed. A line
-that stands in more distinct documents of one host (``source``) than the limit is boilerplate
-there: it is removed from all documents but the first (smallest doc_id) that holds it. Exact copies
-of a text count as one document, so copying alone makes no line boilerplate. A document left with
-too small a share of its words is depleted and rejected.
+that stands in more than LINE_DOCS distinct documents of one host (``source``) is boilerplate
+there, at every size of corpus: it is removed from all documents but the first (smallest doc_id)
+that holds it. Exact copies of a text count as one document: copying a text makes none of its lines
+boilerplate (whole copies are for near_dedup to find). A document left with too small a share of
+its words is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql.types import StringType
 
 from sumweave.llm import common as C
 
-#: A line may stand in this many documents of a host, or this share of them if that is more.
-MIN_DOCS, SHARE = 100, 0.005
+#: A line may stand in this many documents of a host.
+LINE_DOCS = 5
 #: Share of its words a document must keep.
 KEEP_SHARE = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -87,31 +88,28 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def frequent_lines(measures: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(host, line, n_docs, first) of lines above their host's limit."""
+def frequent_lines(measures: DataFrame, line_docs: int) -> DataFrame:
+    """(host, line, n_docs, first) of lines above the limit."""
     lines = measures.select("host", "digest", "doc_id", F.explode("lines").alias("line"))
     one = lines.groupBy("host", "line", "digest").agg(F.min("doc_id").alias("first"))
-    found = one.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") > min_docs)
-    hosts = measures.groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    hosts = hosts.withColumnRenamed("host", "_host")
-    return found.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("host_docs"))).select("host", "line", "n_docs", "first")
+    return one.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") > line_docs)
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
     """A row a document: row, doc_id, digest, the base measures, base_failed, removed_words, kept.
 
     A null text has no words and fails the base rule. A null source is a host of its own. Rows
     that repeat a doc_id are measured each; the first holder of a line is told by doc_id (where all
     are null there is none). Other columns are ignored; an empty table gives no rows.
     """
-    return _judged(docs, min_docs, share, keep_share).drop("gone")
+    return _judged(docs, line_docs, keep_share).drop("gone")
 
 
-def _judged(docs: DataFrame, min_docs: int, share: float, keep_share: float) -> DataFrame:
+def _judged(docs: DataFrame, line_docs: int, keep_share: float) -> DataFrame:
     """The verdicts with ``gone``, the hashes of the lines to remove (null for none)."""
     C.prepare(docs.sparkSession)
     m = C.written(_rows(docs).mapInArrow(_measures, MEASURES_SQL), "measures")
-    often = C.written(frequent_lines(m, min_docs, share), "lines").select(F.col("host").alias("_host"), F.col("line").alias("_line"), "first")
+    often = C.written(frequent_lines(m, line_docs), "lines").select(F.col("host").alias("_host"), F.col("line").alias("_line"), "first")
     lines = m.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "doc_id", "host", "l.*")
     gone = lines.join(often, (F.col("lines") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy("row").agg(F.sum("line_words").cast("long").alias("removed_words"), F.collect_list("lines").alias("gone"))
@@ -120,7 +118,7 @@ def _judged(docs: DataFrame, min_docs: int, share: float, keep_share: float) ->
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & left)
 
 
-def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def cleaned(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     """A row a document: doc_id, source, text without its host's frequent lines.
 
     Lines without words stay. A document that loses all its lines has an empty text, a null text
@@ -130,7 +128,7 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) ->
     C.prepare(docs.sparkSession)
     rows = _rows(docs)
     m = C.written(rows.mapInArrow(_measures, MEASURES_SQL), "measures")
-    often = C.written(frequent_lines(m, min_docs, share), "lines").select(F.col("host").alias("_host"), "line", "first")
+    often = C.written(frequent_lines(m, line_docs), "lines").select(F.col("host").alias("_host"), "line", "first")
     lines = m.select("doc_id", "host", "digest", F.explode("lines").alias("line")).distinct()
     gone = lines.join(often.withColumnRenamed("line", "_line"), (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("digest").alias("_digest")).agg(F.collect_list("line").alias("gone"))
@@ -155,11 +153,11 @@ def _stripped(text: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array([_without(t, g) if g else None for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
 
 
-def filtered(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+def filtered(docs: DataFrame, line_docs: int = LINE_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
     """The rows of ``docs`` that are kept, without their host's frequent lines (the first holder of
     a line keeps it); ``n_chars``, where there is one, follows a changed text. Rows that repeat a
     doc_id are decided each."""
-    kept = _judged(docs, min_docs, share, keep_share).where("kept").groupBy("doc_id", "host", "digest").agg(F.first("gone").alias("gone"))
+    kept = _judged(docs, line_docs, keep_share).where("kept").groupBy("doc_id", "host", "digest").agg(F.first("gone").alias("gone"))
     kept = kept.select(*[F.col(c).alias(f"_kept_{c}") for c in kept.columns])
     same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_kept_doc_id")) & docs["source"].cast("string").eqNullSafe(F.col("_kept_host")) & (_digest() == F.col("_kept_digest"))
     out, changed = docs.join(kept, same), F.col("_kept_gone").isNotNull()
@@ -182,8 +180,7 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM often, (SELECT unnest([0,
 lines AS (SELECT doc_id, host, t, l, regexp_replace(array_to_string(list_filter(string_split_regex(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), ' '), '[0-9]', '0', 'g') AS line,
     len(list_filter(string_split_regex(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS k FROM (SELECT doc_id, host, t, unnest(ls) AS l FROM base)),
 freq AS (SELECT host, line, count(DISTINCT t) AS n, min(doc_id) AS first FROM lines GROUP BY host, line),
-hosts AS (SELECT host, count(DISTINCT t) AS d FROM base GROUP BY host),
-hit AS (SELECT f.host, f.line, f.first FROM freq f JOIN hosts h ON f.host = h.host WHERE f.n > greatest({MIN_DOCS}, {SHARE} * h.d)),
+hit AS (SELECT host, line, first FROM freq WHERE n > {LINE_DOCS}),
 gone AS (SELECT l.doc_id, sum(l.k) AS removed FROM lines l JOIN hit h ON l.host = h.host AND l.line = h.line WHERE l.doc_id <> h.first GROUP BY l.doc_id),
 m AS (SELECT b.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
