@@ -57,7 +57,7 @@ def find_alpha(sources: DataFrame, target_entropy: float | None, max_repeats: fl
             low, high = (tries[first - 1] if first else low), (tries[first] if first < CANDIDATES else high)
         return (low + high) / 2
 
-    alpha = 1.0
+    alpha = 1.0 if max_repeats is None else 0.0  # with a limit alone, as even as it allows
     if target_entropy is not None:
         want = target_entropy * math.log(n)
         alpha = section(lambda a, z, t: math.log(z) - a * t / z >= want)
@@ -122,12 +122,23 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.9, max_repeats: float
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mixture as rows of ``docs``, in all its columns: a document stands as often as it is used."""
-    use = mix(docs, **how).groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("_uses"))
-    copies = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("row_hash")).groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("_copies"))
-    use = use.join(copies, use["doc_id"].eqNullSafe(copies["doc_id"]) & (use["row_hash"] == copies["row_hash"])).select(use["doc_id"].alias("_id"), use["row_hash"].alias("_hash"), F.ceil(F.col("_uses") / F.col("_copies")).cast("int").alias("_times"))
-    j = docs.join(use, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["doc_id"], docs["text"].cast("string")) == F.col("_hash")))
-    return j.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select([docs[c] for c in docs.columns])
+    """The mixture as rows of ``docs``, in all its columns: a document stands as often as it is used.
+
+    Equal rows (of one doc_id, text and source) together stand as often as the mixture uses them all,
+    so the budget holds for them as well; those that differ in other columns come out in the
+    columns of one of them.
+    """
+    key = [F.col("doc_id").cast("bigint").alias("_id"), F.col("source").cast("string").alias("_source"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("_hash")]
+    use = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("row_hash").alias("_hash")).groupBy("_id", "_source", "_hash").agg(F.count(F.lit(1)).alias("_uses"))
+    copies = docs.select(*key).groupBy("_id", "_source", "_hash").agg(F.count(F.lit(1)).alias("_copies"))
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & a["_source"].eqNullSafe(b["_source"]) & (a["_hash"] == b["_hash"])
+    use = use.join(copies, same(use, copies)).select(*(use[c] for c in use.columns), "_copies")
+    use = C.written(use, "uses")
+    own = docs.select(*docs.columns, *key)
+    once = own.join(use.where("_copies = 1"), same(own, use)).select(*(own[c] for c in docs.columns), "_uses")
+    many = own.join(use.where("_copies > 1"), same(own, use)).select(F.struct(*(own[c] for c in docs.columns)).alias("_row"), own["_id"], own["_source"], own["_hash"], "_uses")
+    many = many.groupBy("_id", "_source", "_hash").agg(F.first("_row").alias("_row"), F.first("_uses").alias("_uses")).select("_row.*", "_uses")
+    return once.union(many).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_uses")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
