@@ -5,9 +5,11 @@ anchors, the longest increasing run of anchors is kept, and the gaps between are
 same way. Coverage is the share of the template's words that the alignment matches.
 
 Whether a text can reach the coverage at all is told first by counting the template's words in it
-(an upper bound, so nothing is lost). A long text may hold a notice several times, where no word
-is unique; so the alignment runs on stretches of the template's length around each occurrence of
-the template's rarest words there, and the best stretch counts.
+(an upper bound, so nothing is lost). Templates of LONG words or more are aligned with the whole text, so
+words put in between take nothing away. A text may also hold a notice several times, where no word is
+unique; so the alignment runs, too, on stretches of the template's length around each occurrence of
+the template's rarest words there, and the best alignment counts. Shorter templates are sought in
+such stretches only: their words may stand far apart in any long text.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ TEMPLATES = {
     "MIT notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "all rights reserved": "All rights reserved.",
 }
-#: Share of a template's words to be matched; templates under SHORT words must match whole.
-COVERAGE, SHORT = 0.8, 6
+#: Share of a template's words to be matched; templates under SHORT words must match whole, those of LONG
+#: words or more are sought in the whole text.
+COVERAGE, SHORT, LONG = 0.8, 6, 20
 PUNCTUATION = b".,;:!?\"'()[]{}<>*#/-_"
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
@@ -122,7 +125,12 @@ class Scanner:
             slack = max(2, n // 4)
             keys = sorted({x for x in words if have[x]}, key=lambda x: (have[x], words.index(x)))[: 1 + n - int(np.ceil(self.need[k] - 1e-9))]
             best = (0.0, 0, 0)
-            for x in keys:
+            if n >= LONG:
+                at = np.flatnonzero(self.counts[k][w])
+                match = patience(w[at].tolist(), words)
+                if match:
+                    best = (len(match) / n, int(at[match[0][0]]), int(at[match[-1][0]]))
+            for x in keys if best[0] < 1 else ():
                 for p in np.flatnonzero(w == x).tolist():
                     for q in (i for i, y in enumerate(words) if y == x):
                         lo, hi = max(0, p - q - slack), min(len(w), p - q + n + slack)
