@@ -4,7 +4,8 @@ Test items are few against the corpus; they are worked on in blocks of bounded s
 shipped to the tasks. A pass over the corpus finds the items' seeds (windows of three words), common
 ones too, and cuts the passages around them. A passage that shares too few words with the item to
 reach the score is left out (a bound that loses none); the others are aligned with the item by words,
-and one that reaches the score is a leak, edited or not.
+and one that reaches the score is a leak, edited or not. An item of one or two words has no seed: it is
+its own, and matches where it stands whole.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumweave.llm import common as C
+from sumweave.llm.mixing import n_words
 
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -66,6 +68,10 @@ class Items:
         for k, w in enumerate(self.words):
             for at, g in enumerate(self.grams(w).tolist()):
                 places.setdefault(g, []).append((k, at))
+        self.short: dict[tuple[int, ...], list[int]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < SEED_WORDS:
+                self.short.setdefault(tuple(w.tolist()), []).append(k)
         self.seeds = np.array(sorted(places), np.int64)
         self.places = [places[g] for g in self.seeds.tolist()]
 
@@ -96,6 +102,11 @@ class Items:
 
     def leaks(self, w: np.ndarray, score: float):
         """(item number, score, first, last word) of each item that a text holds."""
+        for words, items in self.short.items():
+            here = np.flatnonzero(w[: len(w) + 1 - len(words)] == words[0])
+            here = here[w[here + len(words) - 1] == words[-1]]
+            if len(here):
+                yield from ((k, 1.0, int(here[0]), int(here[0]) + len(words) - 1) for k in items)
         at, seed = self.find(w)
         hits: dict[int, list[int]] = {}
         for a, s in zip(at.tolist(), seed.tolist(), strict=True):
@@ -143,8 +154,8 @@ def _block(rows: DataFrame, items: Items, score: float) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """doc_id, text_hash, item_id, score, first_word, last_word for each item a document holds.
 
-    Words are compared with A-Z lowered. Items of fewer than three words have no seed and match
-    nothing, and so do null texts. Rows that repeat a doc_id or an item_id are matched each.
+    Words are compared with A-Z lowered. Items of one or two words match where they stand whole;
+    items without words and null texts match nothing. Rows that repeat a doc_id or an item_id are matched each.
     Other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -165,8 +176,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFr
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
-    bad = leaks(docs, benchmark, score).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """The rows of ``docs`` that hold no test item of SEED_WORDS words or more (shorter ones stand in
+    any text and show no leak)."""
+    bad = leaks(docs, benchmark.where(n_words(F.col("text").cast("string")) >= SEED_WORDS), score).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash")), "left_anti")
 
 
