@@ -3,8 +3,10 @@
 DataFrame functions only. Labelled pages (bad: low quality or toxic) are counted by host; the bad
 rate is shrunk down a hierarchy, suffix to registered domain to host: each level's prior is a beta
 distribution with the parent's posterior mean and a strength estimated by moments from how much
-the level's rates differ. A host is blocked when the lower bound of its posterior bad rate passes
-the limit. Suffix and registered domain are the last one and two labels of the host.
+the level's rates differ. A host is blocked when the lower bound of its posterior bad rate is above
+RATIO times the rate of all labelled pages, that is, when it is surely worse than the rest. The
+suffix is the host's last label, or its last two where SUFFIXES has them (other suffixes of several
+labels count as registered domains); the registered domain has one label more.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-#: Standard deviations below the posterior mean, and the bad rate above which a host is blocked.
-Z, LIMIT = 1.645, 0.5
+#: Common public suffixes of two labels.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "co.in", "com.cn", "com.tw", "com.hk", "com.sg", "com.br", "com.ar", "com.mx", "com.tr", "co.za", "co.il", "blogspot.com", "github.io")
+#: Standard deviations below the posterior mean, and how many times the overall bad rate that bound may be.
+Z, RATIO = 1.645, 1.0
 #: Bounds of a prior's strength, in pseudo-observations.
 WEAK, STRONG = 1.0, 1000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,7 +52,9 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 def levels(host: Column) -> tuple[Column, Column]:
     """(suffix, registered domain)."""
-    return F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+    two = F.substring_index(host, ".", -2)
+    long = two.isin(*SUFFIXES)
+    return F.when(long, two).otherwise(F.substring_index(host, ".", -1)), F.when(long, F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _shrunk(children: DataFrame, parents: DataFrame | None, parent: str) -> DataFrame:
@@ -63,13 +69,13 @@ def _shrunk(children: DataFrame, parents: DataFrame | None, parent: str) -> Data
     rho = F.when((F.col("m") > 0) & (den > 0), (F.col("s") - v * (F.col("g") - 1)) / den).otherwise(F.lit(0.0))
     k = F.when(rho > 0, F.least(F.greatest(1 / rho - 1, F.lit(WEAK)), F.lit(STRONG))).otherwise(F.lit(STRONG))
     one = one.select(k.alias("k"), "rate")
-    out = children.crossJoin(F.broadcast(one))
+    out = children.crossJoin(F.broadcast(one))  # one row
     out = out.withColumn("prior", F.col("rate")) if parents is None else out.join(parents.select(F.col(parent), F.col("mean").alias("prior")), parent)
     return out.withColumn("mean", (F.col("bad") + F.col("k") * F.col("prior")) / (F.col("n") + F.col("k")))
 
 
 def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row a host: host, n, bad, mean, bound (lower bound of the bad rate).
+    """A row a host: host, n, bad, mean, bound (lower bound of the bad rate), overall (all hosts' bad rate).
 
     ``pages`` needs page_id and host, ``labels`` doc_id (the page), quality and toxic. A label
     with both null tells nothing. Unlabelled hosts get their domain's prior.
@@ -85,11 +91,12 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     h = _shrunk(hosts, d, "domain")
     a, b = F.col("bad") + F.col("k") * F.col("prior"), F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("prior"))
     sd = F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
-    return h.select("host", "n", "bad", "mean", (F.col("mean") - F.lit(Z) * sd).alias("bound"))
+    return h.select("host", "n", "bad", "mean", (F.col("mean") - F.lit(Z) * sd).alias("bound"), F.col("rate").alias("overall"))
 
 
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, host, path, rule (null where none fits), verdict for every row of ``pages``.
+    """page_id, host, path, rule (null where none fits), verdict, and the host's bad_rate and
+    bad_bound (posterior mean and lower bound, six digits) for every row of ``pages``.
 
     A url that is null or has no ``://`` has an empty host and path: no rule fits it and its
     reputation is that of all such pages. Rows that repeat a page_id come out each. Empty labels
@@ -98,10 +105,10 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     C.prepare(pages.sparkSession)
     host, path = host_path(F.col("url").cast("string"))
     rows = C.written(pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path")), "hosts")
-    rep = C.written(reputation(rows, labels), "reputation").select("host", "bound")
+    rep = C.written(reputation(rows, labels), "reputation")
     rule, verdict = longest_rule(F.col("host"), F.col("path"))
-    learned = F.when(F.col("bound") > LIMIT, "block").otherwise("allow")
-    return rows.join(rep, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"))
+    learned = F.when(F.col("bound") > F.lit(RATIO) * F.col("overall"), "block").otherwise("allow")
+    return rows.join(rep, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), F.round("mean", 6).alias("bad_rate"), F.round("bound", 6).alias("bad_bound"))
 
 
 def sql() -> str:
@@ -125,14 +132,15 @@ def sql() -> str:
     s = level("suffix", None, "rate")
     d = level("domain", "suffix", "p.mean")
     h = level("host", "domain", "p.mean")
+    suffixes = ", ".join(f"'{x}'" for x in SUFFIXES)
     return f"""
 WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(r, '') AS r FROM rest)),
 lab AS (SELECT doc_id AS page_id, COUNT(*) AS n, SUM(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, coalesce(SUM(n), 0) AS n, coalesce(SUM(bad), 0) AS bad FROM p LEFT JOIN lab USING (page_id) GROUP BY ALL),
+hosts AS (SELECT host, array_to_string(string_split(host, '.')[-1 - long:], '.') AS suffix, array_to_string(string_split(host, '.')[-2 - long:], '.') AS domain, coalesce(SUM(n), 0) AS n, coalesce(SUM(bad), 0) AS bad FROM (SELECT *, (array_to_string(string_split(host, '.')[-2:], '.') IN ({suffixes}))::INT AS long FROM p) LEFT JOIN lab USING (page_id) GROUP BY ALL),
 {s}{d}{h}
-b AS (SELECT host, mean - {Z} * sqrt((bad + k * prior) * (n - bad + k * (1 - prior)) / (pow(n + k, 2) * (n + k + 1))) AS bound FROM host_l)
-SELECT page_id, host, path, {case(lambda v, r: r)} ELSE NULL END AS rule, {case(lambda v, r: v)} WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM p JOIN b USING (host)
+b AS (SELECT host, mean, rate AS overall, mean - {Z} * sqrt((bad + k * prior) * (n - bad + k * (1 - prior)) / (pow(n + k, 2) * (n + k + 1))) AS bound FROM host_l, host_l_t)
+SELECT page_id, host, path, {case(lambda v, r: r)} ELSE NULL END AS rule, {case(lambda v, r: v)} WHEN bound > {RATIO} * overall THEN 'block' ELSE 'allow' END AS verdict, round(mean, 6) AS bad_rate, round(bound, 6) AS bad_bound FROM p JOIN b USING (host)
 """
 
 
