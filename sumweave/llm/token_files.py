@@ -1,23 +1,27 @@
 """Token-ID files with a minimal perfect hash index.
 
 A data set is a folder of ``shard-NNNNN.ids`` (raw little-endian ids, documents in ascending key
-order over all shards) and ``index-NNNNN.mph``. The index is cut by key hash into parts of bounded
-size; each part maps a key through a minimal perfect hash (levels of bit arrays, a rank gives the
-slot) to a slot with a 32-bit fingerprint, the shard, the offset and the length: constant time a
-look-up, and absent keys are told by the fingerprint.
+order over all shards), ``index-NNNNN.mph`` and ``manifest.json``. The index is cut by key hash into
+parts of bounded size; each part maps a key through a minimal perfect hash (levels of bit arrays
+with the ranks of their blocks, a rank gives the slot) to a slot with a 32-bit fingerprint, the shard,
+the offset and the length: constant time a look-up, and absent keys are told by the fingerprint.
+``Reader`` looks single keys up; ``read`` does so for a table of keys.
 
 A key is (doc_id, copy): rows that repeat a doc_id are copies 0, 1, ... in text-hash order. A null
-doc_id is a key of its own and sorts first; a null or empty text holds the end id alone.
+doc_id is a key of its own and sorts first; a null or empty text holds the end id alone. Rows of one
+doc_id may fill many shards; equal rows (id and text) stand in one.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +30,10 @@ from sumweave.llm import common as C
 
 #: Keys to one part of the index, about: bounds a build task's memory.
 PART_KEYS = 20_000
-#: Bits per key at each level of the perfect hash.
-GAMMA = 2.0
+#: Bytes of text to a shard at most, about.
+SHARD_BYTES = 1 << 28
+#: Bits per key at each level of the perfect hash, and bytes to a block that has its rank stored.
+GAMMA, BLOCK = 2.0, 64
 
 ENTRY = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 ENTRY_SQL = "doc_id long, copy long, shard int, offset long, n_tokens long"
@@ -55,37 +61,54 @@ def key_hash(doc_id: np.ndarray, copy: np.ndarray, null: np.ndarray, seed: int)
     return C.mix(h * np.uint64(31) + C.mix(copy.astype(np.uint64) * np.uint64(2) + null.astype(np.uint64) + np.uint64(seed)))
 
 
+def build_levels(doc_id, copy, null) -> list[np.ndarray]:
+    """Bit arrays of a minimal perfect hash over (doc_id, copy, null) keys: a key stands in the first
+    level where no other falls on its place."""
+    levels, left = [], np.arange(len(doc_id))
+    while len(left):
+        if len(levels) > 200:
+            raise ValueError("repeated keys")
+        size = max(1, int(GAMMA * len(left)))
+        pos = (key_hash(doc_id[left], copy[left], null[left], len(levels) + 1) % np.uint64(size)).astype(np.int64)
+        alone = np.bincount(pos, minlength=size) == 1
+        levels.append(alone)
+        left = left[~alone[pos]]
+    return levels
+
+
 class PerfectHash:
-    """Minimal perfect hash over (doc_id, copy, null) keys."""
+    """The levels as packed bits with the ranks of their blocks."""
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        bits = np.concatenate(levels) if levels else np.zeros(0, bool)
-        self.starts = np.cumsum([0] + [len(x) for x in levels])
-        self.bits, self.rank = bits, np.cumsum(bits) - bits
+    def __init__(self, sizes: list[int], bits: list[np.ndarray], ranks: list[np.ndarray]):
+        self.sizes, self.bits, self.ranks = sizes, bits, ranks
 
     @classmethod
     def build(cls, doc_id, copy, null) -> PerfectHash:
-        levels, left = [], np.arange(len(doc_id))
-        while len(left):
-            if len(levels) > 200:
-                raise ValueError("repeated keys")
-            size = max(1, int(GAMMA * len(left)))
-            pos = (key_hash(doc_id[left], copy[left], null[left], len(levels) + 1) % np.uint64(size)).astype(np.int64)
-            alone = np.bincount(pos, minlength=size) == 1
-            levels.append(alone)
-            left = left[~alone[pos]]
-        return cls(levels)
+        bits, ranks, before = [], [], 0
+        levels = build_levels(doc_id, copy, null)
+        for level in levels:
+            packed = np.packbits(level)
+            packed = np.append(packed, np.zeros(-len(packed) % BLOCK, np.uint8)).reshape(-1, BLOCK)
+            n = np.bitwise_count(packed).sum(1, dtype=np.int64)
+            bits.append(packed)
+            ranks.append((before + np.cumsum(n) - n).astype("<u4"))
+            before += int(n.sum())
+        return cls([len(x) for x in levels], bits, ranks)
 
     def slots(self, doc_id, copy, null) -> np.ndarray:
         """Each key's slot; -1 where no level holds it (then it is no member)."""
         out, left = np.full(len(doc_id), -1, np.int64), np.arange(len(doc_id))
-        for k, level in enumerate(self.levels):
+        for k, size in enumerate(self.sizes):
             if not len(left):
                 break
-            pos = (key_hash(doc_id[left], copy[left], null[left], k + 1) % np.uint64(len(level))).astype(np.int64)
-            hit = level[pos]
-            out[left[hit]] = self.rank[self.starts[k] + pos[hit]]
+            pos = (key_hash(doc_id[left], copy[left], null[left], k + 1) % np.uint64(size)).astype(np.int64)
+            block, byte = pos // (8 * BLOCK), pos // 8 % BLOCK
+            here = self.bits[k][block, byte]
+            hit = (here >> (7 - pos % 8).astype(np.uint8)) & 1 == 1
+            pos, block, byte, here = pos[hit], block[hit], byte[hit], here[hit]
+            inside = np.where(np.arange(BLOCK) < byte[:, None], self.bits[k][block], 0)
+            front = here.astype(np.int64) >> (8 - pos % 8)  # the bits of the key's own byte before it
+            out[left[hit]] = self.ranks[k][block] + np.bitwise_count(inside).sum(1, dtype=np.int64) + np.bitwise_count(front)
             left = left[~hit]
         return out
 
@@ -95,28 +118,29 @@ def index_bytes(doc_id, copy, null, shard, offset, length) -> bytes:
     slot = ph.slots(doc_id, copy, null)
     place = lambda x, t: (lambda o: (o.__setitem__(slot, x), o)[1])(np.zeros(len(slot), t))
     out = io.BytesIO()
-    out.write(np.array([len(slot), len(ph.levels), *[len(x) for x in ph.levels]], "<u8").tobytes())
-    for x in ph.levels:
-        out.write(np.packbits(x).tobytes())
-    for x in (place((key_hash(doc_id, copy, null, 0) >> np.uint64(32)), "<u4"), place(shard, "<u4"), place(offset, "<u8"), place(length, "<u8")):
+    out.write(np.array([len(slot), len(ph.sizes), *ph.sizes], "<u8").tobytes())
+    for x in (*ph.bits, *ph.ranks, place((key_hash(doc_id, copy, null, 0) >> np.uint64(32)), "<u4"), place(shard, "<u4"), place(offset, "<u8"), place(length, "<u8")):
         out.write(x.tobytes())
     return out.getvalue()
 
 
 class IndexPart:
-    """A part of the index read back from its file."""
+    """A part of the index read back from its file (arrays are views of its bytes)."""
 
     def __init__(self, data: bytes):
         n, m = (int(x) for x in np.frombuffer(data, "<u8", 2))
-        sizes, at, levels = np.frombuffer(data, "<u8", m, 16).tolist(), 16 + 8 * m, []
-        for s in sizes:
-            k = (s + 7) // 8
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, k, at), count=s).astype(bool))
-            at += k
-        self.ph, self.cols = PerfectHash(levels), []
-        for t in ("<u4", "<u4", "<u8", "<u8"):
-            self.cols.append(np.frombuffer(data, t, n, at))
-            at += self.cols[-1].nbytes
+        sizes, at = np.frombuffer(data, "<u8", m, 16).tolist(), 16 + 8 * m
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            x = np.frombuffer(data, kind, count, at)
+            at += x.nbytes
+            return x
+
+        blocks = [-(-size // (8 * BLOCK)) for size in sizes]
+        bits = [take("u1", x * BLOCK).reshape(-1, BLOCK) for x in blocks]
+        self.ph = PerfectHash(sizes, bits, [take("<u4", x) for x in blocks])
+        self.cols = [take(t, n) for t in ("<u4", "<u4", "<u8", "<u8")]
 
     def get(self, doc_id, copy, null):
         """(found, shard, offset, length) for key arrays."""
@@ -129,6 +153,41 @@ class IndexPart:
         return found, *(c[safe].astype(np.int64) for c in self.cols[1:])
 
 
+def part_of(doc_id: int | None, copy: int, parts: int) -> int:
+    """The part of a key, as ``_part`` deals them."""
+    h = 42
+    for x in (doc_id, copy):
+        h = h if x is None else xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), h)
+    return (h - (1 << 64) if h >> 63 else h) % parts
+
+
+class Reader:
+    """Keyed access to a data set from one process."""
+
+    def __init__(self, path: str, cached: int = 64):
+        self.fs, self.root = opened(path)
+        with self.fs.open_input_file(f"{self.root}/manifest.json") as f:
+            self.manifest = json.loads(f.read())
+        self.dtype = np.dtype(f"<u{self.manifest['width']}")
+        self.cached, self._parts = cached, {}
+
+    def get(self, doc_id: int | None, copy: int = 0) -> np.ndarray | None:
+        """A document's ids, the end id with them; None where there is no such key."""
+        if not self.manifest["keys"]:
+            return None
+        p = part_of(doc_id, copy, self.manifest["parts"])
+        if p not in self._parts:
+            with self.fs.open_input_file(f"{self.root}/index-{p:05d}.mph") as f:
+                self._parts[p] = IndexPart(f.read())
+            if len(self._parts) > self.cached:
+                self._parts.pop(next(iter(self._parts)))
+        found, shard, offset, n = (x[0] for x in self._parts[p].get(np.array([doc_id or 0]), np.array([copy]), np.array([doc_id is None])))
+        if not found:
+            return None
+        with self.fs.open_input_file(f"{self.root}/shard-{shard:05d}.ids") as f:
+            return np.frombuffer(f.read_at(int(n) * self.dtype.itemsize, int(offset) * self.dtype.itemsize), self.dtype)
+
+
 def _write_shards(path: str, tokenizer: str, end_id: int):
     def run(it):
         tok = C.token_cache(tokenizer)
@@ -228,30 +287,47 @@ def _part(keys: DataFrame, parts: int) -> DataFrame:
     return keys.withColumn("part", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(parts)).cast("int"))
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """Entries whose copy numbers run on where a doc_id's rows fill more than one shard."""
+    per = raw.groupBy("doc_id", "shard").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    more = per.withColumn("before", before).where("before > 0").select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), "before")
+    out = raw.join(more, raw["doc_id"].eqNullSafe(F.col("_id")) & (F.col("shard") == F.col("_shard")), "left")
+    return out.select("doc_id", (F.col("copy") + F.coalesce("before", F.lit(0))).alias("copy"), "shard", "offset", "n_tokens")
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None) -> DataFrame:
-    """Encode, write shards and index under ``path``; returns the entries (doc_id, copy, shard,
-    offset, n_tokens) as a table in the shared folder.
+    """Encode, write shards, index and manifest under ``path``; returns the entries (doc_id, copy,
+    shard, offset, n_tokens) as a table in the shared folder.
 
-    Documents are range-partitioned by doc_id (a shuffle of the texts, no more than that) and each
-    task streams its range to one shard. An empty input gives no shard and no index part.
+    Documents are range-partitioned by doc_id and text hash (a shuffle of the texts, no more than that)
+    and each task streams its range to one shard; there are as many as the session's shuffle
+    partitions, more where shards would be too long. An empty input gives no shard and no index part.
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = C.id_text(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    entries = C.written(rows.mapInArrow(_write_shards(path, tokenizer, end_id), ENTRY_SQL), "entries")
-    parts = -(-entries.count() // PART_KEYS) or 1
-    build = _part(entries, parts).repartition(min(parts, n), "part").sortWithinPartitions("part")
+    rows = C.id_text(docs)
+    if not shards:
+        size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    order = ["doc_id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
+    raw = C.written(rows.mapInArrow(_write_shards(path, tokenizer, end_id), ENTRY_SQL), "shards")
+    entries = C.written(_numbered(raw), "entries")
+    n = entries.count()
+    parts = -(-n // PART_KEYS) or 1
+    build = _part(entries, parts).repartition(min(parts, shards), "part").sortWithinPartitions("part")
     build.mapInArrow(_build_parts(path, parts), "n long").agg(F.sum("n")).collect()
+    put(path, [json.dumps({"keys": n, "parts": parts, "width": C.token_cache(tokenizer).width, "end_id": end_id}).encode()], "manifest.json")
     return entries
 
 
-def read(keys: DataFrame, path: str, n_keys: int, width: int) -> DataFrame:
+def read(keys: DataFrame, path: str) -> DataFrame:
     """Keys (doc_id, copy) through the index to their payloads: adds shard, offset, n_tokens,
     ids_crc32 (over little-endian unsigned 32-bit ids) and last_id."""
-    parts = -(-n_keys // PART_KEYS) or 1
-    found = _part(keys.select("doc_id", "copy"), parts).repartition("part").sortWithinPartitions("part").mapInArrow(_look_up(path), ENTRY_SQL)
-    return found.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(_read_shards(path, width), ENTRY_SQL + ", ids_crc32 long, last_id long")
+    about = Reader(path).manifest
+    found = _part(keys.select("doc_id", "copy"), about["parts"]).repartition("part").sortWithinPartitions("part").mapInArrow(_look_up(path), ENTRY_SQL)
+    return found.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(_read_shards(path, about["width"]), ENTRY_SQL + ", ids_crc32 long, last_id long")
 
 
 def starts(entries: DataFrame) -> DataFrame:
@@ -268,13 +344,10 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
     in doc_id sort first; repeated doc_ids get copy numbers; other columns are ignored; an empty
     table gives an empty result.
     """
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
     path = path or C.fresh(spark, "tokens", keep=True)
-    width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
     entries = write(docs, path, tokenizer, end_id)
-    back = read(entries, path, entries.count(), width)
+    back = read(entries, path)
     return back.join(starts(entries), "shard").withColumn("start", F.col("_base") + F.col("offset")).drop("_base")
 
 
