@@ -55,6 +55,39 @@ def test_large_group_and_blocks(spark, monkeypatch, block):
     assert got(N.near_groups(docs_of(spark, texts), 3, 85)) == brute(list(enumerate(texts)), 3, 85)
 
 
+def test_all_sets_whole(spark):
+    """k=None: the search is exact for long texts too."""
+    rnd = rng(9)
+    base = [prose(rnd, 300, 2000) for _ in range(4)]
+    texts = [edited(rnd, b, rnd.randrange(16)) for b in base for _ in range(12)]
+    assert got(N.near_groups(docs_of(spark, texts), 3, 85, k=None)) == brute(list(enumerate(texts)), 3, 85)
+
+
+def test_many_null_ids(spark):
+    rnd = rng(10)
+    base = prose(rnd, 80)
+    rows = [(None, edited(rnd, base, 1), "en", "s", 1) for _ in range(80)] * 2 + [(None, base, "en", "s", 1)] * 60 + [(3, base, "en", "s", 1), (9, prose(rnd, 50), "en", "s", 1)]
+    out = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), 3, 85).collect()
+    assert len(out) == len(rows) and {r["component_id"] for r in out if r["doc_id"] != 9} == {3} and sum(r["kept"] for r in out) == 2
+
+
+def test_rows_told_by_id_and_text(spark):
+    a, b = prose(rng(1), 40), prose(rng(2), 40)
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (None, b + " x", "en", "s", 1)]
+    got = N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (5, b)]
+
+
+def test_union_shared():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for k in (4, 32):
+        a, b = ([np.unique(rnd.integers(0, 60, rnd.integers(0, 40)).astype(np.uint64))[:k] for _ in range(50)] for _ in range(2))
+        want = [len(set(np.union1d(x, y)[:k].tolist()) & set(x.tolist()) & set(y.tolist())) for x, y in zip(a, b, strict=True)]
+        assert N.union_shared(a, b, k).tolist() == want
+
+
 def test_odd_and_empty(spark):
     rows = sorted(map(tuple, N.near_groups(odd_docs(spark), 3, 85).select("doc_id", "component_id", "kept").collect()), key=str)
     assert len(rows) == 11
