@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sumweave.llm import common as C
 
 
-def connected(links: DataFrame, kind: str = "long", most: int = 60) -> DataFrame:
+def connected(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v): root is the component's smallest node.
 
     Each round points a node's larger neighbours, then its smaller ones, at the smallest neighbour;

@@ -155,7 +155,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFr
     """doc_id, text_hash, item_id, score, first_word, last_word for each item a document holds.
 
     Words are compared with A-Z lowered. Items of one or two words match where they stand whole;
-    items without words and null texts match nothing. Rows that repeat a doc_id or an item_id are matched each.
+    items without words and null texts match nothing. Texts are searched whole, of any length; of
+    passages with equal scores the first counts. Rows that repeat a doc_id or an item_id are matched each.
     Other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession

@@ -163,7 +163,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
     """doc_id, license, coverage, first_word, last_word for each template a text covers.
 
     Words are compared with A-Z lowered and outer punctuation off. Null and empty texts hold
-    nothing. Rows that repeat a doc_id are scanned each; a null doc_id is carried. Other columns
+    nothing; texts are scanned whole, of any length. Of alignments with equal coverage the first found counts. Rows that repeat a doc_id are scanned each; a null doc_id is carried. Other columns
     are ignored; an empty table gives no rows.
     """
     C.prepare(docs.sparkSession)

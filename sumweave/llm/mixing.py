@@ -75,7 +75,8 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.9, max_repeats: float
     Tokens are words; ``budget`` is in tokens, all that there are by default. A source gets its weight's
     share of the budget, rounded down to whole documents, so the total stays within the budget.
 
-    A null source is a source of its own; documents without words cost nothing and come along in
+    Texts are counted whole, of any length; where rows tie in the dealing's hashes, their doc_id
+    decides. A null source is a source of its own; documents without words cost nothing and come along in
     whole epochs; sources without any words come once. Rows that repeat a doc_id are dealt each.
     Other columns are ignored; an empty table gives no rows.
     """

@@ -249,7 +249,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int | Non
     texts = texts.where("rep > -9223372036854775808").unionByName(texts.where("rep = -9223372036854775808").groupBy("rep", "text_hash").agg(F.first("text").alias("text")))
     tasks = work.join(texts, ["rep", "text_hash"]).select("list", "i", "j", "side", "lists", "text").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
     links = C.written(tasks.mapInArrow(_links(words, percent, k), "u binary, v binary"), "links")
-    roots = connected(links, "binary")
+    roots = connected(links)
     grouped = sk.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")).join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component"))
     label = grouped.join(least, "root").select("digest", "component")

@@ -98,7 +98,8 @@ def frequent_lines(measures: DataFrame, line_docs: int) -> DataFrame:
 def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
     """A row a document: row, doc_id, digest, the base measures, base_failed, removed_words, kept.
 
-    A null text has no words and fails the base rule. A null source is a host of its own. Rows
+    A null text has no words and fails the base rule. A null source is a host of its own. Texts are
+    measured whole, of any length. Of rows that hold a frequent line, those of the smallest doc_id keep it. Rows
     that repeat a doc_id are measured each; the first holder of a line is told by doc_id (where all
     are null there is none). Other columns are ignored; an empty table gives no rows.
     """

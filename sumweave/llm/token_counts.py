@@ -200,7 +200,8 @@ def count_tokens(docs: DataFrame, edits, tokenizer: str) -> DataFrame:
     ``edits``: a column of arrays of (start, end, new) in code points of the text as the earlier
     edits left it, applied in order. Columns: doc_id, n_tokens, n_tokens_edited, n_chars,
     n_chars_edited, n_edits, recut_chars (characters cut anew by the edits). A null text is empty;
-    null edits are none; positions outside are clipped. Rows that repeat a doc_id are counted
+    null edits are none; positions outside are clipped; edits at one place apply in the order given.
+    Texts of any length are counted whole. Rows that repeat a doc_id are counted
     each. Other columns are ignored; an empty table gives no rows.
     """
     C.prepare(docs.sparkSession)

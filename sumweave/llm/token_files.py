@@ -340,7 +340,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
     """Write ``docs`` as token files and read every document back through the index.
 
     Returns a row a document: doc_id, copy, shard, offset, start (ids of all documents before it),
-    n_tokens (with the end id), ids_crc32, last_id. Null and empty texts hold the end id only; nulls
+    n_tokens (with the end id), ids_crc32, last_id. Texts are encoded whole, of any length. Null and empty texts hold the end id only; nulls
     in doc_id sort first; repeated doc_ids get copy numbers; other columns are ignored; an empty
     table gives an empty result.
     """

@@ -43,7 +43,7 @@ def host_path(url: Column) -> tuple[Column, Column]:
 def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; nulls if none does."""
     rule = verdict = F.lit(None).cast("string")
-    for v, r in sorted(rules, key=lambda x: (len(x[1]), x[1])):
+    for v, r in sorted(sorted(rules, key=lambda x: x[1], reverse=True), key=lambda x: len(x[1])):
         h, p = r.split("/", 1)
         fits = ((host == h) | host.endswith("." + h)) & path.startswith("/" + p)
         rule, verdict = F.when(fits, r).otherwise(rule), F.when(fits, v).otherwise(verdict)
@@ -99,7 +99,8 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad_bound (posterior mean and lower bound, six digits) for every row of ``pages``.
 
     A url that is null or has no ``://`` has an empty host and path: no rule fits it and its
-    reputation is that of all such pages. Rows that repeat a page_id come out each. Empty labels
+    reputation is that of all such pages. Rows that repeat a page_id come out each; urls may be of any length. Of rules
+    of one length the first in the alphabet counts. Empty labels
     leave all that no rule blocks allowed. Other columns are ignored.
     """
     C.prepare(pages.sparkSession)
