@@ -2,31 +2,34 @@
 
 A subword's embedding is its own row plus its class's (subwords are dealt into classes of about
 equal frequency, so rare ones start from their class). Queries, keys, values and a residual are
-projections of embeddings; one head with relative position biases. The output is factored exactly: a
-softmax over the classes, then a Huffman tree over the subwords of the class, each node a logistic
-choice by the context; a text's probability depends on every subword of the context and of the
-output. Windows of 24 inputs overlap by 8: the last 16
-positions of a window are its targets, so each token is predicted once, with the 8 to 23 inputs
-before its own at hand.
+projections of embeddings; one head with relative position biases. The output is factored exactly:
+the attention's softmax over the classes, then the subword within its class by how often it was met
+there behind the very subword before (rare ones before it share a row), backed off to its share of
+the class. So a text's probability depends on every subword of the context and of the output, and
+sums to one over the vocabulary. Windows of 24 inputs overlap by 8: the last 16 positions of a window
+are its targets, so each token is predicted once, with the 8 to 23 inputs before its own at hand.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 CLASSES, STRIDE, BACK = 64, 16, 8
-#: Width of embeddings, of queries and keys, of the state before the output, and of its part the trees see.
-WIDE, KEY, DIM, SEEN = 12, 4, 12, 8
+#: Frequent subwords with a row of their own when the one behind them is chosen within its class, and
+#: frequent subwords that have a column there; the others go by their share.
+ROWS, COLUMNS = 1024, 8192
+#: Width of embeddings, of queries and keys, and of the state before the output.
+WIDE, KEY, DIM = 12, 4, 12
 WINDOW = STRIDE + BACK
 BOS, PAD = CLASSES, CLASSES + 1
 INPUTS = CLASSES + 2
 #: Windows to a step of training and to a chunk of scoring; to a step where training begins.
-BATCH, FIRST_BATCH = 512, 64
+BATCH, FIRST_BATCH = 512, 32
 RATE, BETA1, BETA2 = 0.03, 0.9, 0.98
-#: Adagrad's rate for the subwords' own vectors and tree nodes.
+#: Adagrad's rate for the subwords' own vectors.
 OWN_RATE = 0.3
+#: How many counts a class's shares weigh against those behind one subword.
+PRIOR = 2.0
 
 SHAPES = {"e": (INPUTS, WIDE), "q": (WIDE, KEY), "k": (WIDE, KEY), "v": (WIDE, DIM), "r": (WIDE, DIM), "b": (WINDOW,), "o": (DIM + 1, CLASSES)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -34,7 +37,7 @@ _OFFSET = (np.arange(STRIDE)[:, None] + BACK) - np.arange(WINDOW)[None, :]
 _CAUSAL = _OFFSET >= 0
 _OFFSET = np.maximum(_OFFSET, 0)
 _SCALE = np.float32(1 / np.sqrt(KEY))
-_ONES = np.ones(CLASSES, np.float32)
+_ONES, _ROW = np.ones(CLASSES, np.float32), np.ones(WINDOW, np.float32)
 
 
 def initial(class_share: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -57,88 +60,88 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def classes_of(counts: np.ndarray) -> np.ndarray:
+def classes_of(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """The class of each subword: by falling counts, each class about as frequent as the others."""
     order = np.argsort(-counts, kind="stable")
     mass = counts[order] + 0.5
     middle = np.cumsum(mass) - mass / 2
     cls = np.empty(len(counts), np.int64)
-    cls[order] = np.minimum(CLASSES - 1, middle / mass.sum() * CLASSES).astype(np.int64)
+    cls[order] = np.minimum(classes - 1, middle / mass.sum() * classes).astype(np.int64)
     return cls
 
 
-class Tree:
-    """The classes of a vocabulary and a Huffman tree over each one's subwords.
-
-    A subword's path is ``node[first[i]:first[i] + size[i]]`` with the sides taken (1 or -1) in ``side``;
-    ``bias`` makes each node choose by the counts alone at the start.
-    """
+class Vocabulary:
+    """Subwords by their counts: their classes, rows and columns."""
 
     def __init__(self, counts: np.ndarray):
+        self.size, self.bos, self.pad = len(counts), len(counts), len(counts) + 1
         own = classes_of(counts)
+        self.cls = np.append(own, [BOS, PAD])
+        rank = np.empty(self.size, np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(self.size)
+        #: Rows 0 to ROWS - 1 are subwords, then the rest, then the beginning of a text.
+        self.row = np.append(np.minimum(rank, ROWS), ROWS + 1)
+        #: The last column is the rest.
+        self.column = np.minimum(rank, COLUMNS)
         total = np.bincount(own, weights=counts + 0.5, minlength=CLASSES)
-        self.share = total / total.sum()
-        self.vocab = len(counts)
-        self.cls = np.append(own, [BOS, PAD]).astype(np.int64)
-        nodes, paths = 0, [()] * self.vocab
-        bias: list[float] = []
-        for c in range(CLASSES):
-            heap: list[tuple] = [(float(counts[i]) + 0.5, k, i) for k, i in enumerate(np.flatnonzero(own == c).tolist())]
-            heapq.heapify(heap)
-            order = len(heap)
-            while len(heap) > 1:
-                a, b = heapq.heappop(heap), heapq.heappop(heap)
-                heapq.heappush(heap, (a[0] + b[0], order, (nodes, a[2], b[2])))
-                bias.append(float(np.log(a[0] / b[0])))
-                order, nodes = order + 1, nodes + 1
-            todo = [(heap[0][2], ())] if heap else []
-            while todo:
-                at, path = todo.pop()
-                if isinstance(at, tuple):
-                    todo += [(at[1], (*path, (at[0], 1))), (at[2], (*path, (at[0], -1)))]
-                else:
-                    paths[at] = path
-        self.bias = np.array(bias, np.float32)
-        self.size = np.array([len(p) for p in paths], np.int64)
-        self.first = np.cumsum(self.size) - self.size
-        flat = np.array([x for p in paths for x in p], np.int32).reshape(-1, 2)
-        self.node, self.side = np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.float32)
-
-    def levels(self, size: np.ndarray, t: np.ndarray):
-        """(nodes, sides) of the first, second, ... step of the paths to the subwords t, sorted by
-        falling path lengths ``size``: those that go on are always the first ones."""
-        first = self.first.take(t)
-        ends = np.searchsorted(-size, -np.arange(1, size[0] + 1 if len(size) else 1), side="right")
-        for j, n in enumerate(ends.tolist()):
-            at = first[:n] + j
-            yield self.node.take(at), self.side.take(at)
+        self.class_share, self.share = total / total.sum(), (counts + 0.5) / total[own]
+        self._of_column = np.full(COLUMNS + 1, -1)
+        self._of_column[self.column] = np.arange(self.size)
+        self._of_column[COLUMNS] = -1
+
+    #: Number of pair keys.
+    PAIRS = (ROWS + 2) * (COLUMNS + 1)
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Keys (row, column) of inputs and the targets behind them, padding left out."""
+        real = np.flatnonzero(y.ravel() != self.pad)
+        return self.row.take(x[:, BACK:].ravel().take(real)) * (COLUMNS + 1) + self.column.take(y.ravel().take(real))
+
+    def within(self, pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From pair keys and their counts: log((n + PRIOR * share) / (N + PRIOR)) by key, where N is what the
+        row has of the column's class, and -log(N + PRIOR) by row and class for subwords without a
+        column of their own (n is 0 there)."""
+        n = np.zeros(self.PAIRS, np.float32)
+        n[pairs] = counts
+        n = n.reshape(ROWS + 2, COLUMNS + 1)
+        n[:, COLUMNS] = 0
+        has = np.flatnonzero(self._of_column >= 0)
+        sub = self._of_column[has]
+        total = np.zeros((ROWS + 2, CLASSES), np.float32)
+        for c in np.unique(self.cls[sub]).tolist():
+            total[:, c] = n[:, has[self.cls[sub] == c]].sum(1)
+        total += PRIOR
+        out = np.zeros_like(n)
+        out[:, has] = np.log((n[:, has] + PRIOR * self.share[sub].astype(np.float32)) / total[:, self.cls[sub]])
+        return out.ravel(), -np.log(total)
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of values [m, k] by row number."""
-    k = values.shape[1]
-    at = (rows[:, None] * k + np.arange(k)).ravel()
-    return np.bincount(at, values.ravel(), n * k).reshape(n, k).astype(np.float32)
+    columns = np.ascontiguousarray(values.T, np.float64)
+    return np.array([np.bincount(rows, c, n) for c in columns], np.float32).T
 
 
-def seen(h: np.ndarray) -> np.ndarray:
-    """The part of states that the trees see: the last values, and the 1."""
-    return np.ascontiguousarray(h[:, DIM - SEEN :])
+def _outer(a: np.ndarray, b: np.ndarray, block: int = 512) -> np.ndarray:
+    """a.T @ b for many rows, block by block (much faster for so few columns)."""
+    n = len(a) // block * block
+    out = (a[:n].reshape(-1, block, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, block, b.shape[1])).sum(0)
+    return out + a[n:].T @ b[n:] if n < len(a) else out
 
 
 class Model:
     """The model; ``flat`` is what all subwords share, ``own`` each one's embedding beside its class's
-    (small at random at first, to tell the subwords of a class apart), ``nodes`` each tree node's
-    vector and bias."""
+    (small at random at first, to tell the subwords of a class apart), ``within`` the choices in the
+    classes (needed for scores alone)."""
 
-    def __init__(self, flat: np.ndarray, tree: Tree, own: np.ndarray | None = None, nodes: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray, vocab: Vocabulary, own: np.ndarray | None = None, within: tuple | None = None):
         self.flat = np.array(flat, np.float32)
         self.p = unpack(self.flat)
-        self.tree, self.bos, self.pad = tree, tree.vocab, tree.vocab + 1
-        own = np.random.default_rng(7).standard_normal((tree.vocab + 2, WIDE)) * 0.05 if own is None else own
+        self.vocab, self.bos, self.pad = vocab, vocab.bos, vocab.pad
+        own = np.random.default_rng(7).standard_normal((vocab.size + 2, WIDE)) * 0.05 if own is None else own
         self.own = np.array(own, np.float32)
-        self.nodes = np.column_stack([np.zeros((len(tree.bias), SEEN), np.float32), tree.bias]) if nodes is None else np.array(nodes, np.float32)
-        self._rank = np.zeros(max(tree.vocab + 2, len(tree.bias)), np.int64)
+        self.within = within
+        self._rank = np.zeros(vocab.size + 2, np.int64)
         self._mark = np.zeros(len(self._rank), bool)
 
     def windows(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +172,7 @@ class Model:
     def context(self, x: np.ndarray):
         """The state before the output (and a 1) for each target place, and what the gradient needs of the way there."""
         used, at = self.distinct(x)
-        e = self.p["e"].take(self.tree.cls[used], axis=0) + self.own.take(used, axis=0)
+        e = self.p["e"].take(self.vocab.cls[used], axis=0) + self.own.take(used, axis=0)
         late = np.ascontiguousarray(at[:, BACK:])
         q, k, v, r = (e @ self.p["q"] * _SCALE).take(late, axis=0), (e @ self.p["k"]).take(at, axis=0), (e @ self.p["v"]).take(at, axis=0), (e @ self.p["r"]).take(late, axis=0)
         a = q @ k.transpose(0, 2, 1)
@@ -178,74 +181,63 @@ class Model:
         a *= np.where(_CAUSAL, np.exp(np.clip(self.p["b"], -15, 15))[_OFFSET], 0).astype(np.float32)
         if used[-1] == self.pad:
             a *= (x != self.pad)[:, None, :]
-        a /= np.maximum(a.sum(2, keepdims=True), 1e-20)
+        a *= (1 / np.maximum(a.reshape(-1, WINDOW) @ _ROW, np.float32(1e-20))).reshape(-1, STRIDE, 1)
         ctx = a @ v
         r += ctx
         h = np.ones((len(x) * STRIDE, DIM + 1), np.float32)
         np.tanh(r.reshape(-1, DIM), out=h[:, :DIM])
         return used, e, at, late, q, k, v, a, ctx, h
 
-    def targets(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places that are no padding, by falling lengths of their targets' paths; targets; lengths)."""
-        t = y.ravel()
-        real = np.flatnonzero(t != self.pad)
-        size = self.tree.size.take(t[real])
-        order = np.argsort((255 - np.minimum(size, 255)).astype(np.uint8), kind="stable")
-        real, size = real[order], size[order]
-        return real, t[real], size
-
-    def output(self, h: np.ndarray, t: np.ndarray, size: np.ndarray):
-        """Log probabilities of subwords t after states h (sorted by path lengths), and what the gradient needs."""
+    def output(self, h: np.ndarray, t: np.ndarray):
+        """Log probabilities of the classes of subwords t after states h, and what the gradient needs."""
         logits = h @ self.p["o"]
-        mine = np.arange(0, logits.size, CLASSES) + self.tree.cls.take(t)
-        out = logits.ravel().take(mine)
+        mine = np.arange(0, logits.size, CLASSES) + self.vocab.cls.take(t)
+        chosen = logits.ravel().take(mine)
         e = np.exp(logits, out=logits)
         total = e @ _ONES
-        out -= np.log(total)
-        steps, state = [], seen(h)
-        for node, side in self.tree.levels(size, t):
-            w = self.nodes.take(node, axis=0)
-            z = np.clip(side * np.einsum("ij,ij->i", w, state[: len(node)]), -30, 30)
-            fail = np.exp(-z)  # odds against the side taken
-            out[: len(node)] -= np.log(1 + fail)
-            steps.append((node, w, -side * fail / (1 + fail)))
-        return out, e, total, mine, steps
+        return chosen - np.log(total), e, total, mine
+
+    def chosen(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """Log probabilities of the targets at ``real`` within their classes."""
+        table, rest = self.within
+        key, t = self.vocab.pairs(x, y), y.ravel().take(real)
+        out = table.take(key)
+        if len(rare := np.flatnonzero(self.vocab.column.take(t) == COLUMNS)):
+            row = key[rare] // (COLUMNS + 1)
+            out[rare] = rest[row, self.vocab.cls[t[rare]]] + np.log(PRIOR * self.vocab.share[t[rare]])
+        return out
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each target, 0 at padding."""
         out = np.zeros(y.size, np.float64)
         for i in range(0, len(x), BATCH):
-            real, t, size = self.targets(y[i : i + BATCH])
-            h = self.context(x[i : i + BATCH])[-1]
-            out[i * STRIDE + real] = self.output(h.take(real, axis=0), t, size)[0]
+            xs, ys = x[i : i + BATCH], y[i : i + BATCH]
+            real = np.flatnonzero(ys.ravel() != self.pad)
+            h = self.context(xs)[-1]
+            out[i * STRIDE + real] = self.output(h.take(real, axis=0), ys.ravel().take(real))[0] + self.chosen(xs, ys, real)
         return out.reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray):
-        """The mean loss's gradient over one batch: of the shared part, (subwords, rows) and (nodes, rows)."""
+        """The gradient of the mean loss over one batch: of the shared part, and (subwords, rows)."""
         used, emb, at, late, q, k, v, a, ctx, h = self.context(x)
-        real, t, size = self.targets(y)
+        t = y.ravel()
+        real = np.flatnonzero(t != self.pad)
         n = np.float32(max(1, len(real)))
-        hr = h.take(real, axis=0)
-        _, e, total, mine, steps = self.output(hr, t, size)
+        t, hr = t[real], h.take(real, axis=0)
+        _, e, total, mine = self.output(hr, t)
         scale = (1 / (n * total))[:, None]
         e.ravel()[mine] -= total
         grad = np.zeros(SIZE, np.float32)
         g = unpack(grad)
-        g["o"][:] = (hr * scale).T @ e
+        g["o"][:] = _outer(hr * scale, e)
         dh = e @ self.p["o"][:DIM].T
         dh *= scale
-        for_nodes, state = [np.zeros((0, SEEN + 1), np.float32)], seen(hr)
-        for node, w, s in steps:
-            s = (s / n)[:, None]
-            for_nodes.append(state[: len(node)] * s)
-            w *= s
-            dh[: len(node), DIM - SEEN :] += w[:, :SEEN]
-        nodes, na = self.distinct(np.concatenate([np.zeros(0, np.int32), *(node for node, _, _ in steps)]))
-        by_node = _sums(na, np.concatenate(for_nodes), len(nodes))
         hr = hr[:, :DIM]
         dh *= 1 - hr * hr
-        du = np.zeros((len(h), DIM), np.float32)
-        du[real] = dh
+        du = dh
+        if len(real) < len(h):
+            du = np.zeros((len(h), DIM), np.float32)
+            du[real] = dh
         du3 = du.reshape(len(x), STRIDE, DIM)
         ds = du3 @ v.transpose(0, 2, 1)
         ds -= np.einsum("bij,bij->bi", du3, ctx)[:, :, None]
@@ -254,33 +246,35 @@ class Model:
         dq, dk, dv = ((ds @ k) * _SCALE).reshape(-1, KEY), (ds.transpose(0, 2, 1) @ q).reshape(-1, KEY), (a.transpose(0, 2, 1) @ du3).reshape(-1, DIM)
         x_all, x_late = emb.take(at.ravel(), axis=0), emb.take(late.ravel(), axis=0)
         for name, xs, d in (("q", x_late, dq), ("k", x_all, dk), ("v", x_all, dv), ("r", x_late, du)):
-            g[name][:] = xs.T @ d
+            g[name][:] = _outer(xs, d)
         dx = (dk @ self.p["k"].T + dv @ self.p["v"].T).reshape(len(x), WINDOW, WIDE)
         dx[:, BACK:] += (dq @ self.p["q"].T + du @ self.p["r"].T).reshape(len(x), STRIDE, WIDE)
         rows = _sums(at.ravel(), dx.reshape(-1, WIDE), len(used))
-        g["e"][:] = _sums(self.tree.cls[used], rows, INPUTS)
-        return grad, (used, rows), (nodes, by_node)
+        g["e"][:] = _sums(self.vocab.cls[used], rows, INPUTS)
+        return grad, used, rows
 
 
 class Trainer:
-    """Adam for the shared part, Adagrad for the rows of subwords and nodes a batch touches; ``seen``
-    counts how many batches touched each, the weight of its row in a mean over trainers."""
+    """Adam for the shared part, Adagrad for the rows of subwords a batch holds; ``seen`` counts how
+    many batches held each, the weight of its row in a mean over trainers."""
 
     def __init__(self, model: Model, batch: int = BATCH):
         self.model, self.batch = model, batch
         self.m, self.v, self.n = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0
-        self._squares = [np.full_like(x, 1e-12) for x in (model.own, model.nodes)]
-        self.seen = [np.zeros(len(x), np.int64) for x in (model.own, model.nodes)]
-
-    def learn(self, x: np.ndarray, y: np.ndarray) -> None:
-        for i in range(0, len(x), self.batch):
-            g, *sparse = self.model.gradients(x[i : i + self.batch], y[i : i + self.batch])
+        self._squares = np.full_like(model.own, 1e-12)
+        self.seen = np.zeros(len(model.own), np.int64)
+
+    def learn(self, x: np.ndarray, y: np.ndarray, passes: int = 1) -> None:
+        """Train on windows in an order of their own, so that no long text makes up whole batches."""
+        own, order = self.model.own, np.random.default_rng(len(x)).permutation(len(x))
+        x, y = x[order], y[order]
+        for i in [*range(0, len(x), self.batch)] * passes:
+            g, used, d = self.model.gradients(x[i : i + self.batch], y[i : i + self.batch])
             self.step(g)
-            for table, squares, seen, (rows, d) in zip((self.model.own, self.model.nodes), self._squares, self.seen, sparse, strict=True):
-                q = squares.take(rows, axis=0) + d * d
-                squares[rows] = q
-                table[rows] -= OWN_RATE * d / np.sqrt(q)
-                seen[rows] += 1
+            q = self._squares.take(used, axis=0) + d * d
+            self._squares[used] = q
+            own[used] -= OWN_RATE * d / np.sqrt(q)
+            self.seen[used] += 1
 
     def step(self, g: np.ndarray) -> None:
         self.n += 1

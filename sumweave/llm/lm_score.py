@@ -9,15 +9,18 @@ document is scored:
 2. train: training documents are dealt into shards of about SHARD subwords by a hash of id and
    text, and stand in a shard in the order of another. The first shard trains the start; every other
    shard trains a copy of it, and the copies' mean is the model: by steps for what all subwords
-   share, by the steps that touched it for a subword's and a tree node's own row. Shards and their
-   order depend on the rows alone, so scores don't depend on partitions (but for rounding in sums);
+   share, by the steps that held it for a subword's own row. Pairs of subwords in a row are counted
+   on the way. Shards and their order depend on the rows alone, so scores don't depend on
+   partitions (but for rounding in sums);
 3. score: overlapping windows by the trained model; words by the counts. The HEAD most frequent
    words' counts go to the tasks (a fixed number of them); all other words meet their counts in a join.
 """
 
 from __future__ import annotations
 
+import base64
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -28,20 +31,21 @@ from pyspark.sql import functions as F
 
 from sumweave.llm import attention as A
 from sumweave.llm import common as C
+from sumweave.llm.token_counts import PATTERN
 
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts are sent to every task.
 HEAD = 1 << 16
-#: Distinct words a task numbers before it starts afresh (a memory bound; results don't depend on it).
-WORDS = 500_000
+#: Distinct words a worker numbers before it starts afresh (a memory bound; results don't depend on it).
+WORDS = 1_000_000
 #: Bytes of text worked on at once.
 GROUP = 4_000_000
 #: Subwords to a training shard, about; tasks that train at most (a task takes its shards in turn).
 SHARD, TASKS = 2_000_000, 20_000
-#: Subwords trained on at once.
-CHUNK = 1 << 18
-#: Subwords or tree nodes to a part of the averaged model, and partitions that average them.
-PART, PARTS = 4096, 8
+#: Subwords trained on at once, and how often the first shard's are.
+CHUNK, FIRST_PASSES = 1 << 18, 2
+#: Subwords and pairs to a part of what the tasks' models are put together from, and partitions that do so.
+PART, PAIRS, PARTS = 4096, 1 << 20, 8
 #: The end token's key; no word holds a blank.
 END = xxhash.xxh64_intdigest(b" end")
 
@@ -49,6 +53,10 @@ CODES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", p
 CODES_SQL = "kind int, doc_id long, text_hash long, held_out boolean, ids binary, key long, n long"
 
 
+def code_type(end_id: int) -> str:
+    return "<u2" if end_id < 1 << 16 else "<u4"
+
+
 def held_out(doc_id) -> bool:
     """Whether a document is kept from training: crc32 of its id as text, by 7, leaves 2. A null
     id has an empty text (and trains)."""
@@ -95,11 +103,64 @@ class Numbers:
         return k
 
 
-def _lower_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in words), np.uint64, len(words))
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+class Subwords:
+    """Subword ids of lower-cased words, each with one blank before it, by a file of ranks.
+
+    Words are encoded many at a time: a blank always begins a new piece, so ids fall to words by their
+    bytes. Words with white space beyond ASCII in them could join pieces and go alone.
+    """
+
+    ODD = re.compile(r"[^\S \t-\r]|[\x1c-\x1f\x85]")
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.length[list(ranks.values())] = [len(x) for x in ranks]
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, how many each word has)."""
+        text = (b" " + b" ".join(words)).decode()
+        if not self.ODD.search(text):
+            ids = np.array(self.encode(text), np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            return ids, np.diff(np.searchsorted(np.cumsum(self.length[ids]), ends) + 1, prepend=0)
+        alone = np.fromiter((bool(self.ODD.search(w.decode())) for w in words), bool, len(words))
+        parts: list = [self.encode(" " + w.decode()) if x else None for w, x in zip(words, alone.tolist(), strict=True)]
+        plain = [w for w, x in zip(words, alone.tolist(), strict=True) if not x]
+        if plain:
+            ids, n = self.of(plain)
+            for k, own in zip(np.flatnonzero(~alone).tolist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                parts[k] = own
+        return np.concatenate([np.array(x, np.uint32) for x in parts]), np.array([len(x) for x in parts])
+
+
+_SUBWORDS: dict[str, Subwords] = {}
+#: What a worker knows of words by tokenizer, from task to task.
+_STATES: dict[str, dict] = {}
+
 
+def subwords(path: str) -> Subwords:
+    """The worker's encoder for a file; it lives as long as the worker."""
+    if path not in _SUBWORDS:
+        _SUBWORDS[path] = Subwords(path)
+    return _SUBWORDS[path]
 
-def _encode(tokenizer: str, end_id: int, vocab: int):
+
+def _forget() -> None:
+    """Give up this worker's caches, for passes that need their memory for something else."""
+    C.forget()
+    _STATES.clear()
+
+
+def _encode(tokenizer: str, end_id: int):
     def rows(kind: int, keys, counts):
         n = len(keys)
         none = lambda t: pa.nulls(n, t)
@@ -107,31 +168,32 @@ def _encode(tokenizer: str, end_id: int, vocab: int):
 
     def run(it):
         C.forget()
-        tok = C.TokenCache(tokenizer, limit=1 << 62)
-        end, subwords, state = np.array([end_id], tok.dtype).tobytes(), np.zeros(vocab, np.int64), {}
+        sub, vocab, dtype = subwords(tokenizer), end_id + 1, code_type(end_id)
+        end, counted = np.array([end_id], dtype).tobytes(), np.zeros(vocab, np.int64)
+        state = _STATES.setdefault(tokenizer, {})
 
         def afresh():
-            state.update(tokens=np.zeros(0, tok.dtype), used=0, counts=np.zeros(0, np.int64), numbers=Numbers(describe))
+            state.update(stream=np.zeros(0, dtype), used=0, counts=np.zeros(0, np.int64), numbers=Numbers(describe))
 
         def describe(new):
-            tok.learn(set(new))
-            data = [tok.words.pop(w) for w in new]
-            size = np.fromiter(map(len, data), np.int64, len(data)) // tok.width
-            more = np.frombuffer(b"".join(data), tok.dtype)
-            u, z = state["used"], state["used"] + len(more)
-            if z > len(state["tokens"]):
-                state["tokens"] = np.concatenate([state["tokens"], np.zeros(z + len(more), tok.dtype)])
-            state["tokens"][u:z] = more
+            ids, size = sub.of(new)
+            u, z = state["used"], state["used"] + len(ids)
+            if z > len(state["stream"]):
+                state["stream"] = np.concatenate([state["stream"], np.zeros(z + len(ids), dtype)])
+            state["stream"][u:z] = ids
             state["used"] = z
-            return u + np.cumsum(size) - size, size, _lower_hashes(new).view(np.int64)
+            return u + np.cumsum(size) - size, size, _hashes(new).view(np.int64)
 
         def flush():
             k = np.flatnonzero(state["counts"])
             if len(k):
                 yield rows(1, state["numbers"].columns[2][k], state["counts"][k])
-            afresh()
+            state["counts"] = np.zeros(0, np.int64)
 
-        afresh()
+        if not state:
+            afresh()
+        state["counts"] = np.zeros(0, np.int64)
+        state["numbers"].describe = describe
         trained = 0
         for b in it:
             ids, texts, codes = b.column("doc_id").to_pylist(), C.raw_texts(b), []
@@ -139,7 +201,8 @@ def _encode(tokenizer: str, end_id: int, vocab: int):
             for a, z in _groups(texts):
                 if len(state["numbers"].at) > WORDS:
                     yield from flush()
-                split = [t.split() for t in texts[a:z]]
+                    afresh()
+                split = [t.lower().split() for t in texts[a:z]]
                 n = np.fromiter(map(len, split), np.int64, z - a)
                 k = state["numbers"].of(list(itertools.chain.from_iterable(split)))
                 del split
@@ -149,22 +212,22 @@ def _encode(tokenizer: str, end_id: int, vocab: int):
                 first, size, _ = state["numbers"].columns
                 size = size.take(k)
                 ends = np.cumsum(size)
-                stream = state["tokens"].take(np.repeat(first.take(k) - (ends - size), size) + np.arange(ends[-1]))
+                stream = state["stream"].take(np.repeat(first.take(k) - (ends - size), size) + np.arange(ends[-1]))
                 cuts = np.append(0, ends)[np.append(0, np.cumsum(n))].tolist()
                 codes += [stream[x:y].tobytes() + end for x, y in zip(cuts, cuts[1:], strict=False)]
                 trains = ~held[a:z]
                 counts = np.bincount(k[np.repeat(trains, n)], minlength=len(state["numbers"].at))
                 counts[: len(state["counts"])] += state["counts"]
                 state["counts"] = counts
-                subwords += np.bincount(stream[np.repeat(trains, np.diff(cuts))], minlength=vocab)
+                counted += np.bincount(stream[np.repeat(trains, np.diff(cuts))], minlength=vocab)
             trained += int((~held).sum())
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column("doc_id"), b.column("text_hash"), pa.array(held), pa.array(codes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=CODES)
         yield from flush()
         if trained:
-            subwords[end_id] += trained
-            k = np.flatnonzero(subwords)
-            yield rows(2, k, subwords[k])
+            counted[end_id] += trained
+            k = np.flatnonzero(counted)
+            yield rows(2, k, counted[k])
             yield rows(1, np.array([END], np.uint64).view(np.int64), np.array([trained]))
 
     return run
@@ -180,14 +243,15 @@ def _means(parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[pa.array(c, pa.binary()) for c in data]], names=["part", "rows", "weights", "x"])
 
 
-def _train(model, batch: int, dtype: str):
+def _train(model, batch: int, passes: int, dtype: str):
     """Rows sorted by shard and place: each shard trains a copy of ``model``; the sums of the copies,
-    weighted, come out at the end."""
+    weighted (part 0: shared, part 1 + p: subwords), and of pairs (part -1 - p) come out at the end."""
 
     def run(it):
-        C.forget()
+        _forget()
         sums: dict[int, list] = {}
         start = A.Model(*model.value)
+        pairs = np.zeros(start.vocab.PAIRS, np.int32)
         t, at, held, size = None, None, [], 0
 
         def add(part, rows, weights, x):
@@ -198,55 +262,58 @@ def _train(model, batch: int, dtype: str):
         def learn():
             nonlocal held, size
             if held:
-                t.learn(*t.model.windows(held)[:2])
+                x, y, _ = t.model.windows(held)
+                t.learn(x, y, passes)
+                np.add.at(pairs, start.vocab.pairs(x, y), 1)
             held, size = [], 0
 
         def close():
             learn()
             if t is not None and t.n:
                 add(0, np.zeros(1, int), np.array([float(t.n)]), t.model.flat[None])
-                for kind, (table, seen) in enumerate(zip((t.model.own, t.model.nodes), t.seen, strict=True)):
-                    met = np.flatnonzero(seen)
-                    for p in np.unique(met // PART).tolist():
-                        r = met[met // PART == p]
-                        add(1 + 2 * p + kind, r % PART, seen[r].astype(float), table[r])
+                met = np.flatnonzero(t.seen)
+                for p in np.unique(met // PART).tolist():
+                    r = met[met // PART == p]
+                    add(1 + p, r % PART, t.seen[r].astype(float), t.model.own[r])
 
         for b in it:
             for shard, x in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 if shard != at:
                     close()
-                    at, t = shard, A.Trainer(A.Model(start.flat, start.tree, start.own, start.nodes), batch)
+                    at, t = shard, A.Trainer(A.Model(start.flat, start.vocab, start.own), batch)
                 held.append(np.frombuffer(x, dtype))
                 size += len(held[-1])
                 if size > CHUNK:
                     learn()
         close()
-        parts = []
-        for part, (total, weight) in sums.items():
-            r = np.flatnonzero(weight)
-            parts.append((part, r, weight[r], total[r]))
+        parts = [(part, r := np.flatnonzero(weight), weight[r], total[r]) for part, (total, weight) in sums.items()]
+        met = np.flatnonzero(pairs)
+        for p in np.unique(met // PAIRS).tolist():
+            r = met[met // PAIRS == p]
+            parts.append((-1 - p, r % PAIRS, np.zeros(0), pairs[r]))
         if parts:
             yield _means(parts)
 
     return run
 
 
-def _mean(widths: tuple[int, int, int]):
-    """Weighted means by part and row, over the tasks' rows as they come."""
+def _mean(widths: tuple[int, int]):
+    """Weighted means by part and row (sums of pairs), over the tasks' rows as they come."""
 
     def run(it):
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in it:
             for part, rows, weights, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                width = widths[0 if part == 0 else 1 + (part - 1) % 2]
-                total, weight = sums.setdefault(part, (np.zeros((PART if part else 1, width)), np.zeros(PART if part else 1)))
-                r = np.frombuffer(rows, np.int32)
-                total[r] += np.frombuffer(x, np.float64).reshape(-1, width)
-                weight[r] += np.frombuffer(weights, np.float64)
+                n, width = (PAIRS, 1) if part < 0 else (PART, widths[1]) if part else (1, widths[0])
+                total, weight = sums.setdefault(part, (np.zeros((n, width)), np.zeros(n)))
+                r, x = np.frombuffer(rows, np.int32), np.frombuffer(x, np.float64).reshape(-1, width)
+                total[r] += x
+                weight[r] += 1 if part < 0 else np.frombuffer(weights, np.float64)
         parts = []
         for part, (total, weight) in sums.items():
             r = np.flatnonzero(weight)
-            parts.append((part, r + (part - 1) // 2 * PART if part else r, weight[r], total[r] / weight[r][:, None]))
+            first = (-1 - part) * PAIRS if part < 0 else max(part - 1, 0) * PART
+            parts.append((part, first + r, np.zeros(0), total[r] if part < 0 else total[r] / weight[r][:, None]))
         if parts:
             yield _means(parts)
 
@@ -255,8 +322,9 @@ def _mean(widths: tuple[int, int, int]):
 
 def _score(model, dtype: str):
     def run(it):
-        C.forget()
-        m = A.Model(*model.value)
+        _forget()
+        flat, vocab, own, pairs = model.value
+        m = A.Model(flat, vocab, own, vocab.within(*pairs))
         for b in it:
             out = []
             raw = [np.frombuffer(x, dtype) for x in b.column("ids").to_pylist()]
@@ -281,29 +349,31 @@ BASE_SQL = "doc_id long, text_hash long, held_out boolean, n_tokens long, head_n
 def _base(keys: np.ndarray, values: np.ndarray, end: float):
     """``keys``: the head words' hashes, sorted; ``values``: log10 of their counts + 1; ``end``: the end token's."""
 
-    def describe(new):
-        h = _lower_hashes(new)
-        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-        return h, np.where(keys[at] == h, values[at], -1.0) if len(keys) else np.full(len(h), -1.0)
-
     def run(it):
         from pyspark import TaskContext
 
-        C.forget()
-        numbers, row = Numbers(describe), TaskContext.get().partitionId() << 36
+        _forget()
+        of_word, row = {}, TaskContext.get().partitionId() << 36  # the head's words, as they are met
         for b in it:
             out: list[list] = [[] for _ in range(6)]
             texts = C.raw_texts(b)
             for a, z in _groups(texts):
-                if len(numbers.at) > WORDS:
-                    numbers = Numbers(describe)
-                split = [t.split() for t in texts[a:z]]
+                split = [t.lower().split() for t in texts[a:z]]
                 n = np.fromiter(map(len, split), np.int64, z - a)
-                k = numbers.of(list(itertools.chain.from_iterable(split)))
+                words = list(itertools.chain.from_iterable(split))
                 del split
                 owner = np.repeat(np.arange(z - a), n)
-                h, v = (c.take(k) for c in numbers.columns) if len(k) else (np.zeros(0, np.uint64), np.zeros(0))
-                known = v >= 0
+                v = np.array(list(map(of_word.get, words)), np.float64)  # nan for None
+                new = np.flatnonzero(np.isnan(v))
+                h = np.zeros(len(words), np.uint64)
+                h[new] = _hashes([words[i] for i in new.tolist()])
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, h[new]), len(keys) - 1)
+                    met = keys[at] == h[new]
+                    v[new[met]] = values[at[met]]
+                    of_word.update(zip([words[i] for i in new[met].tolist()], values[at[met]].tolist(), strict=True))
+                del words
+                known = ~np.isnan(v)
                 head_n, head_sum = np.bincount(owner[known], minlength=z - a), np.bincount(owner[known], v[known], z - a)
                 owner, h = owner[~known], h[~known]
                 order = np.lexsort((h, owner))
@@ -331,48 +401,47 @@ def _long(h: int) -> int:
 
 
 def _fitted(codes: DataFrame, counts: np.ndarray, dtype: str) -> tuple:
-    """The model's parts (flat, tree, own, nodes) from the training rows of ``codes`` and the
-    subwords' counts in them."""
+    """The model's parts (flat, vocabulary, own, pairs) from the training rows of ``codes`` and the
+    subwords' counts in them. All of them are bounded by the vocabulary."""
     spark = codes.sparkSession
-    tree = A.Tree(counts)
-    m = A.Model(A.initial(tree.share), tree)
-    model = (m.flat, tree, m.own, m.nodes)
-    widths = (A.SIZE, m.own.shape[1], m.nodes.shape[1])
+    vocab = A.Vocabulary(counts)
+    m = A.Model(A.initial(vocab.class_share), vocab)
+    flat, own, pairs = m.flat, m.own, np.zeros(vocab.PAIRS, np.int64)
     shards = max(1, -(-int(counts.sum()) // SHARD))
     place = F.xxhash64("text_hash", "doc_id", F.lit(1))
     rows = codes.where("kind = 0 and not held_out").select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).alias("shard"), place.alias("place"), "doc_id", "text_hash", "ids")
     order = ["shard", "place", "doc_id", "text_hash"]
-    for part, batch in ((rows.where("shard = 0").repartition(1), A.FIRST_BATCH), (rows.where("shard > 0").repartition(min(shards, TASKS), "shard"), A.BATCH)):
-        sent = spark.sparkContext.broadcast(model)
-        sums = part.sortWithinPartitions(*order).select("shard", "ids").mapInArrow(_train(sent, batch, dtype), MEANS_SQL)
-        flat, _, own, nodes = (x.copy() if isinstance(x, np.ndarray) else x for x in model)
-        for number, at, _, x in sums.repartition(PARTS, "part").mapInArrow(_mean(widths), MEANS_SQL).collect():
-            x = np.frombuffer(x, np.float64)
-            if number == 0:
+    for part, *how in ((rows.where("shard = 0").repartition(1), A.FIRST_BATCH, FIRST_PASSES), (rows.where("shard > 0").repartition(min(shards, TASKS), "shard"), A.BATCH, 1))[: min(shards, 2)]:
+        sent = spark.sparkContext.broadcast((flat, vocab, own))
+        sums = part.sortWithinPartitions(*order).select("shard", "ids").mapInArrow(_train(sent, *how, dtype), MEANS_SQL)
+        flat, own = flat.copy(), own.copy()
+        for number, at, _, x in sums.repartition(PARTS, "part").mapInArrow(_mean((A.SIZE, own.shape[1])), MEANS_SQL).collect():
+            at, x = np.frombuffer(at, np.int32), np.frombuffer(x, np.float64)
+            if number < 0:
+                pairs[at] += x.astype(np.int64)
+            elif number == 0:
                 flat[:] = x
             else:
-                (own, nodes)[(number - 1) % 2][np.frombuffer(at, np.int32)] = x.reshape(-1, widths[1 + (number - 1) % 2])
-        model = (flat, tree, own, nodes)
-        if shards == 1:
-            break
-    return model
+                own[at] = x.reshape(-1, own.shape[1])
+        sent.destroy()
+    met = np.flatnonzero(pairs)
+    return flat, vocab, own, (met, pairs[met])
 
 
 def scores(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
-    Scores are log10 probabilities of whole texts. A null text is empty: one end token. A null
+    ``tokenizer`` is a file of byte-pair ranks; ``end_id`` an id above all of them. Subwords are of
+    words with A-Z lowered and one blank before each. Scores are log10 probabilities of whole texts,
+    of any length. A null text is empty: one end token. A null
     doc_id trains. Rows that repeat a doc_id are scored each. With no training document at all the
     counts are 0. Other columns are ignored; an empty table gives no rows.
     """
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
     C.prepare(spark)
-    size = Tokenizer.from_file(tokenizer).get_vocab_size()
-    dtype = "<u2" if size <= 1 << 16 else "<u4"
+    dtype = code_type(end_id)
     rows = C.id_text(docs, F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    codes = C.written(rows.mapInArrow(_encode(tokenizer, end_id, size), CODES_SQL), "codes", compression="zstd")
+    codes = C.written(rows.mapInArrow(_encode(tokenizer, end_id), CODES_SQL), "codes", compression="zstd")
     counts = C.written(codes.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).collect()[0]
     top = counts.where(F.col("key") != F.lit(_long(END))).orderBy(F.desc("c"), "key").limit(HEAD).collect()
@@ -381,7 +450,7 @@ def scores(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     ends = counts.where(F.col("key") == F.lit(_long(END))).collect()
     end = float(np.log10(ends[0][1] + 1.0)) if ends else -1.0
 
-    sub = np.zeros(size, np.int64)
+    sub = np.zeros(end_id + 1, np.int64)
     for k, n in codes.where("kind = 2").groupBy("key").agg(F.sum("n")).collect():
         sub[k] = n
     model = spark.sparkContext.broadcast(_fitted(codes, sub, dtype))
@@ -403,4 +472,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op8_lm_score."""
     import public_tokenizers
 
-    return scores(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49407)
+    return scores(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), 50256)
