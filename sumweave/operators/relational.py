@@ -16,9 +16,9 @@ from sumweave.functions import u64
 from sumweave.plans.model import Col, Filter, JoinPred
 
 
-def scan(relation: DataFrame, binding: int) -> DataFrame:
+def scan(relation: DataFrame, binding: int, width: int | None = None) -> DataFrame:
     """All columns of a relation under a binding."""
-    return relation.toDF(*[Col(binding, i).name for i in range(len(relation.columns))])
+    return relation.toDF(*[Col(binding, i).name for i in range(len(relation.columns) if width is None else width)])
 
 
 def project(df: DataFrame, positions: Sequence[int]) -> DataFrame:
@@ -68,7 +68,7 @@ def _sums(columns: Sequence[str]) -> tuple[list, dict[str, str]]:
     aggs, totals = [], {}
     for i, c in enumerate(columns):
         names = [f"_{i}_{k}" for k in range(len(u64.sum_pieces(c)))]
-        aggs += [F.expr(f"{x} AS {n}") for x, n in zip(u64.sum_pieces(c), names, strict=True)]
+        aggs += [f"{x} AS {n}" for x, n in zip(u64.sum_pieces(c), names, strict=True)]
         totals[c] = u64.value_from_pieces(names)
     return aggs, totals
 
@@ -77,7 +77,8 @@ def weigh(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFra
     """A row for each combination of ``keys``: the keys, how many rows have it (``n_rows``) and the
     columns' sums ``sum_<column>``, all DECIMAL(20,0) mod 2**64. Without keys one row, of zeros for no rows."""
     aggs, totals = _sums(columns)
-    out = df.groupBy(*keys).agg(F.expr(f"count(1) AS {COUNT}"), *aggs)
+    aggs.append(f"count(1) AS {COUNT}")
+    out = df.groupBy(*keys).agg(*map(F.expr, aggs)) if keys else df.selectExpr(*aggs)
     sums = [f"coalesce({t}, CAST(0 AS DECIMAL(20,0))) AS sum_{c}" for c, t in totals.items()]
     return out.selectExpr(*keys, f"CAST({COUNT} AS DECIMAL(20,0)) AS {COUNT}", *sums)
 
@@ -126,5 +127,5 @@ def checksum(df: DataFrame, columns: Sequence[str], places: Sequence[int], resul
     """One row s0..sN of the columns' sums modulo 2**64, null for zero."""
     aggs, totals = _sums(columns)
     form = u64.as_bigint if result == "bigint" else str
-    one = df.agg(*aggs).selectExpr(*[f"{u64.zero_as_null(totals[c])} AS _{i}" for i, c in enumerate(columns)])
+    one = df.selectExpr(*aggs).selectExpr(*[f"{u64.zero_as_null(totals[c])} AS _{i}" for i, c in enumerate(columns)])
     return one.selectExpr(*[f"{form(f'_{k}')} AS s{i}" for i, k in enumerate(places)])

@@ -69,7 +69,7 @@ def build(catalog, query: Query | str, result: str = "u64", strict: bool = False
     """
     q = dedupe_selections(parse_query(query) if isinstance(query, str) else query)
     for c in q.columns():
-        width = len(catalog.relation(q.relations[c.binding]).columns)
+        width = catalog.width(q.relations[c.binding])
         if c.column >= width:
             raise QueryError(f"column {c}: relation {q.relations[c.binding]} has {width} columns")
     parts = components(q)
@@ -81,7 +81,7 @@ def build(catalog, query: Query | str, result: str = "u64", strict: bool = False
     scans = {}
     for b, r in enumerate(q.relations):
         own = [f for f in q.filters if f.col.binding == b]
-        df = R.scan(catalog.narrowed(r, own), b)
+        df = R.scan(catalog.narrowed(r, own), b, catalog.width(r))
         for f in own:
             df = R.filter_constant(df, f, catalog.non_negative(r, f.col.column))
         for j in q.joins:

@@ -24,17 +24,21 @@ class Catalog:
         self._relations: dict[int, DataFrame] = {}
         self._max: dict[tuple[int, int], int] = {}
         self._keys: dict[int, tuple[frozenset[int], ...]] = {}
+        self._widths: dict[int, int] = {}
         self._narrowed: dict[int, Callable[[Sequence[Filter]], DataFrame]] = {}
 
-    def add(self, df: DataFrame, relation: int | None = None, keys: Sequence[Sequence[int]] = (), narrowed: Callable[[Sequence[Filter]], DataFrame] | None = None) -> int:
+    def add(self, df: DataFrame, relation: int | None = None, keys: Sequence[Sequence[int]] = (), narrowed: Callable[[Sequence[Filter]], DataFrame] | None = None, width: int | None = None) -> int:
         """``keys``: sets of columns no two rows agree in, as far as declared (plans are chosen by them,
-        results don't depend on it). ``narrowed`` gives the relation without some of the rows that
+        results don't depend on it). ``width``: the number of columns, given where they are named c0, c1, ...
+        already. ``narrowed`` gives the relation without some of the rows that
         constant filters drop, where its columns are computed from stored ones a scan can prune by."""
         rid = len(self._relations) if relation is None else relation
         self._keys[rid] = tuple(map(frozenset, keys))
         if narrowed:
             self._narrowed[rid] = narrowed
-        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        self._widths[rid] = len(df.columns) if width is None else width
+        if width is None:
+            df = df.toDF(*[f"c{i}" for i in range(self._widths[rid])])
         self._relations[rid] = df
         if self.views:
             df.createOrReplaceTempView(f"r{rid}")
@@ -64,6 +68,10 @@ class Catalog:
             raise KeyError(f"no relation {rid}; there are {sorted(self._relations)}")
         return self._relations[rid]
 
+    def width(self, rid: int) -> int:
+        self.relation(rid)
+        return self._widths[rid]
+
     def narrowed(self, rid: int, filters: Sequence[Filter]) -> DataFrame:
         """A relation, perhaps without rows that the filters drop (which are still to be applied)."""
         return self._narrowed[rid](filters) if filters and rid in self._narrowed else self.relation(rid)

@@ -61,23 +61,24 @@ def _implied(c, op: str, constant: int) -> str | None:
     return " OR ".join(f"({_bounds(c, *span)})" for span in spans)
 
 
-#: (application, path) -> (what was listed there, the table)
-_OPEN: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+#: (application, path, columns) -> (what was listed there, the table, its columns as c0, c1, ...)
+_OPEN: dict[tuple[str, str, tuple], tuple[tuple, DataFrame, DataFrame]] = {}
 
 
 def _listed(spark: SparkSession, path: str) -> tuple:
-    """Names, lengths and times of a table's files."""
+    """Length and time of a table's file or folder (a folder's time is that of its last change of files)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(p)))
+    status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    return status.getLen(), status.getModificationTime()
 
 
-def opened(spark: SparkSession, path: str) -> DataFrame:
-    """A table; it is opened anew where its files have changed."""
-    key, now = (spark.sparkContext.applicationId, path), _listed(spark, path)
+def opened(spark: SparkSession, path: str, exprs: tuple[str, ...] = ("*",)) -> tuple[DataFrame, DataFrame]:
+    """A table and a selection from it; it is opened anew where its files have changed."""
+    key, now = (spark.sparkContext.applicationId, path, exprs), _listed(spark, path)
     if key not in _OPEN or _OPEN[key][0] != now:
-        _OPEN[key] = now, spark.read.parquet(path)
-    return _OPEN[key][1]
+        df = spark.read.parquet(path)
+        _OPEN[key] = now, df, df.selectExpr(*exprs)
+    return _OPEN[key][1:]
 
 
 def catalog(spark: SparkSession, sf_dir: str, relations=None, views: bool = False) -> Catalog:
@@ -85,14 +86,14 @@ def catalog(spark: SparkSession, sf_dir: str, relations=None, views: bool = Fals
     cat = Catalog(spark, views)
     for rid in RELATIONS if relations is None else sorted(set(relations)):
         table, columns = RELATIONS[rid]
-        df = opened(spark, f"{sf_dir}/{table}.parquet")
-        exprs = [f"{_form('spark', c)} AS c{i}" for i, c in enumerate(columns)]
+        exprs = tuple(f"{_form('spark', c)} AS c{i}" for i, c in enumerate(columns))
+        df, relation = opened(spark, f"{sf_dir}/{table}.parquet", exprs)
 
         def narrowed(filters, df=df, columns=columns, exprs=exprs):
             implied = [x for f in filters if (x := _implied(columns[f.col.column], f.op, f.constant))]
             return df.where(" AND ".join(f"({x})" for x in implied) or "true").selectExpr(*exprs)
 
-        cat.add(df.selectExpr(*exprs), rid, KEYS[rid], narrowed)
+        cat.add(relation, rid, KEYS[rid], narrowed, len(columns))
     return cat
 
 

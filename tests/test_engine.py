@@ -158,9 +158,9 @@ def test_changed_table(spark, tmp_path):
 
     p = str(tmp_path / "t")
     spark.range(3).write.parquet(p)
-    assert opened(spark, p).columns == ["id"] and opened(spark, p) is opened(spark, p)
+    assert opened(spark, p)[1].columns == ["id"] and opened(spark, p)[0] is opened(spark, p)[0]
     spark.range(5).selectExpr("id AS other").write.mode("overwrite").parquet(p)
-    assert opened(spark, p).columns == ["other"] and opened(spark, p).count() == 5
+    assert opened(spark, p)[1].columns == ["other"] and opened(spark, p)[0].count() == 5
 
 
 def test_shared_folder(spark):
