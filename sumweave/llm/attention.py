@@ -25,6 +25,8 @@ BOS, PAD = CLASSES, CLASSES + 1
 INPUTS = CLASSES + 2
 #: Windows to a step of training and to a chunk of scoring; to a step where training begins.
 BATCH, FIRST_BATCH = 512, 32
+#: States whose output is worked out at once (results don't depend on it).
+BLOCK = 1024
 RATE, BETA1, BETA2 = 0.03, 0.9, 0.98
 #: Adagrad's rate for the subwords' own vectors.
 OWN_RATE = 0.3
@@ -32,12 +34,16 @@ OWN_RATE = 0.3
 PRIOR = 2.0
 
 SHAPES = {"e": (INPUTS, WIDE), "q": (WIDE, KEY), "k": (WIDE, KEY), "v": (WIDE, DIM), "r": (WIDE, DIM), "b": (WINDOW,), "o": (DIM + 1, CLASSES)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+_SIZES = [int(np.prod(s)) for s in SHAPES.values()]
+SIZE = sum(_SIZES)
+_CUTS = [slice(sum(_SIZES[:i]), sum(_SIZES[: i + 1])) for i in range(len(_SIZES))]
 _OFFSET = (np.arange(STRIDE)[:, None] + BACK) - np.arange(WINDOW)[None, :]
 _CAUSAL = _OFFSET >= 0
 _OFFSET = np.maximum(_OFFSET, 0)
 _SCALE = np.float32(1 / np.sqrt(KEY))
 _ONES, _ROW = np.ones(CLASSES, np.float32), np.ones(WINDOW, np.float32)
+#: What a residual's last column holds: with the weights' sum beside it, its tanh is the output bias's 1.
+_ONE = 19.0
 
 
 def initial(class_share: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -52,12 +58,7 @@ def initial(class_share: np.ndarray, seed: int = 5) -> np.ndarray:
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     """Views of the parameters."""
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
+    return {name: flat[cut].reshape(shape) for (name, shape), cut in zip(SHAPES.items(), _CUTS, strict=True)}
 
 
 def classes_of(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -116,9 +117,8 @@ class Vocabulary:
         return out.ravel(), -np.log(total)
 
 
-def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values [m, k] by row number."""
-    columns = np.ascontiguousarray(values.T, np.float64)
+def _sums(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by row number, given column by column [k, m]."""
     return np.array([np.bincount(rows, c, n) for c in columns], np.float32).T
 
 
@@ -170,11 +170,17 @@ class Model:
         return u, self._rank.take(x)
 
     def context(self, x: np.ndarray):
-        """The state before the output (and a 1) for each target place, and what the gradient needs of the way there."""
+        """The state before the output (and a 1) for each target place, and what the gradient needs of
+        the way there. Values have a 1 behind them, so that contexts have the weights' sum, 1."""
         used, at = self.distinct(x)
         e = self.p["e"].take(self.vocab.cls[used], axis=0) + self.own.take(used, axis=0)
-        late = np.ascontiguousarray(at[:, BACK:])
-        q, k, v, r = (e @ self.p["q"] * _SCALE).take(late, axis=0), (e @ self.p["k"]).take(at, axis=0), (e @ self.p["v"]).take(at, axis=0), (e @ self.p["r"]).take(late, axis=0)
+        project = np.concatenate([self.p["q"] * _SCALE, self.p["k"], self.p["v"], self.p["r"]], axis=1)
+        z = np.ones((len(used), 2 * KEY + DIM + 1), np.float32)
+        z[:, :-1] = e @ project[:, : 2 * KEY + DIM]
+        r = np.full((len(used), DIM + 1), _ONE, np.float32)
+        r[:, :DIM] = e @ self.p["r"]
+        z = z.take(at, axis=0)
+        q, k, v = z[:, BACK:, :KEY], z[:, :, KEY : 2 * KEY], z[:, :, 2 * KEY :]
         a = q @ k.transpose(0, 2, 1)
         np.clip(a, -15, 15, out=a)
         np.exp(a, out=a)
@@ -182,16 +188,17 @@ class Model:
         if used[-1] == self.pad:
             a *= (x != self.pad)[:, None, :]
         a *= (1 / np.maximum(a.reshape(-1, WINDOW) @ _ROW, np.float32(1e-20))).reshape(-1, STRIDE, 1)
-        ctx = a @ v
-        r += ctx
-        h = np.ones((len(x) * STRIDE, DIM + 1), np.float32)
-        np.tanh(r.reshape(-1, DIM), out=h[:, :DIM])
-        return used, e, at, late, q, k, v, a, ctx, h
+        ctx = (a @ v).reshape(-1, DIM + 1)
+        h = r.take(at[:, BACK:].ravel(), axis=0)
+        h += ctx
+        np.tanh(h, out=h)
+        return used, e, at, project, q, k, v, a, ctx, h
 
     def output(self, h: np.ndarray, t: np.ndarray):
-        """Log probabilities of the classes of subwords t after states h, and what the gradient needs."""
+        """Log probabilities of the classes of subwords t after states h (of padding, anything), and
+        what the gradient needs."""
         logits = h @ self.p["o"]
-        mine = np.arange(0, logits.size, CLASSES) + self.vocab.cls.take(t)
+        mine = np.arange(0, logits.size, CLASSES) + np.minimum(self.vocab.cls.take(t), CLASSES - 1)
         chosen = logits.ravel().take(mine)
         e = np.exp(logits, out=logits)
         total = e @ _ONES
@@ -213,44 +220,47 @@ class Model:
         for i in range(0, len(x), BATCH):
             xs, ys = x[i : i + BATCH], y[i : i + BATCH]
             real = np.flatnonzero(ys.ravel() != self.pad)
-            h = self.context(xs)[-1]
-            out[i * STRIDE + real] = self.output(h.take(real, axis=0), ys.ravel().take(real))[0] + self.chosen(xs, ys, real)
+            h, t = self.context(xs)[-1], ys.ravel()
+            classes = np.concatenate([self.output(h[j : j + BLOCK], t[j : j + BLOCK])[0] for j in range(0, len(h), BLOCK)])
+            out[i * STRIDE + real] = classes.take(real) + self.chosen(xs, ys, real)
         return out.reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray):
         """The gradient of the mean loss over one batch: of the shared part, and (subwords, rows)."""
-        used, emb, at, late, q, k, v, a, ctx, h = self.context(x)
+        used, emb, at, project, q, k, v, a, ctx, h = self.context(x)
         t = y.ravel()
-        real = np.flatnonzero(t != self.pad)
-        n = np.float32(max(1, len(real)))
-        t, hr = t[real], h.take(real, axis=0)
-        _, e, total, mine = self.output(hr, t)
-        scale = (1 / (n * total))[:, None]
-        e.ravel()[mine] -= total
+        real = t != self.pad
+        share = real.astype(np.float32) / np.float32(max(1, np.count_nonzero(real)))
+        back = np.ascontiguousarray(self.p["o"].T)
         grad = np.zeros(SIZE, np.float32)
         g = unpack(grad)
-        g["o"][:] = _outer(hr * scale, e)
-        dh = e @ self.p["o"][:DIM].T
-        dh *= scale
-        hr = hr[:, :DIM]
-        dh *= 1 - hr * hr
-        du = dh
-        if len(real) < len(h):
-            du = np.zeros((len(h), DIM), np.float32)
-            du[real] = dh
-        du3 = du.reshape(len(x), STRIDE, DIM)
-        ds = du3 @ v.transpose(0, 2, 1)
-        ds -= np.einsum("bij,bij->bi", du3, ctx)[:, :, None]
+        du = np.empty_like(h)
+        for i in range(0, len(h), BLOCK):
+            some = slice(i, i + BLOCK)
+            _, e, total, mine = self.output(h[some], t[some])
+            scale = (share[some] / total)[:, None]
+            e.ravel()[mine] -= total
+            g["o"] += _outer(h[some] * scale, e)
+            np.matmul(e, back, out=du[some])
+            du[some] *= scale
+        h *= h
+        du *= np.subtract(1, h, out=h)  # the last column comes to 0
+        du[:, DIM] = -np.einsum("ij,ij->i", du, ctx)  # meets the 1 behind the values
+        du = du.reshape(len(x), STRIDE, DIM + 1)
+        ds = du @ v.transpose(0, 2, 1)
         ds *= a
         g["b"][:] = np.bincount(_OFFSET.ravel(), np.where(_CAUSAL, ds.sum(0), 0).ravel(), WINDOW)
-        dq, dk, dv = ((ds @ k) * _SCALE).reshape(-1, KEY), (ds.transpose(0, 2, 1) @ q).reshape(-1, KEY), (a.transpose(0, 2, 1) @ du3).reshape(-1, DIM)
-        x_all, x_late = emb.take(at.ravel(), axis=0), emb.take(late.ravel(), axis=0)
-        for name, xs, d in (("q", x_late, dq), ("k", x_all, dk), ("v", x_all, dv), ("r", x_late, du)):
-            g[name][:] = _outer(xs, d)
-        dx = (dk @ self.p["k"].T + dv @ self.p["v"].T).reshape(len(x), WINDOW, WIDE)
-        dx[:, BACK:] += (dq @ self.p["q"].T + du @ self.p["r"].T).reshape(len(x), STRIDE, WIDE)
-        rows = _sums(at.ravel(), dx.reshape(-1, WIDE), len(used))
-        g["e"][:] = _sums(self.vocab.cls[used], rows, INPUTS)
+        d = np.empty((len(x), WINDOW, 2 * KEY + 2 * DIM), np.float32)  # of queries, keys, values and residuals
+        dq, dk, dv, dr = (d[:, :, i:j] for i, j in ((0, KEY), (KEY, 2 * KEY), (2 * KEY, 2 * KEY + DIM), (2 * KEY + DIM, None)))
+        dq[:, :BACK], dr[:, :BACK], dr[:, BACK:] = 0, 0, du[:, :, :DIM]
+        np.matmul(ds, k, out=dq[:, BACK:])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+        np.matmul(a.transpose(0, 2, 1), du[:, :, :DIM], out=dv)
+        at, d = at.ravel(), d.reshape(-1, d.shape[2])
+        dp = _outer(emb.take(at, axis=0), d)
+        g["q"][:], g["k"][:], g["v"][:], g["r"][:] = dp[:, :KEY] * _SCALE, dp[:, KEY : 2 * KEY], dp[:, 2 * KEY : 2 * KEY + DIM], dp[:, 2 * KEY + DIM :]
+        rows = _sums(at, project @ d.T, len(used))
+        g["e"][:] = _sums(self.vocab.cls[used], rows.T, INPUTS)
         return grad, used, rows
 
 

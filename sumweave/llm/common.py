@@ -18,6 +18,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +109,26 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary() if wide else pa.binary()).to_pylist()]
 
 
+def strings(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
+    """A string column, null as empty."""
+    return pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
+
+
+def lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(how many words each of the texts has, all words in a row as places in the distinct ones, the
+    distinct ones), of texts without nulls with A-Z lower-cased."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    n, words = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten()
+    real = pc.binary_length(words).to_numpy() > 0  # white space at a text's ends leaves empty words
+    if not real.all():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n))
+        words = words.filter(pa.array(real))
+    words = words.dictionary_encode()
+    distinct = words.dictionary
+    distinct = distinct.view(pa.large_binary() if pa.types.is_large_string(distinct.type) else pa.binary())
+    return n, words.indices.to_numpy(), distinct.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, computed on first sight."""
 

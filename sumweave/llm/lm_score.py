@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,8 @@ FOLDS, HELD_OUT = 7, 2
 HEAD = 1 << 16
 #: Distinct words a worker numbers before it starts afresh (a memory bound; results don't depend on it).
 WORDS = 1_000_000
-#: Bytes of text worked on at once.
-GROUP = 4_000_000
+#: Bytes of text worked on at once, and words when their subwords are counted.
+GROUP, RUN = 4_000_000, 1 << 17
 #: Subwords to a training shard, about; tasks that train at most (a task takes its shards in turn).
 SHARD, TASKS = 2_000_000, 20_000
 #: Subwords trained on at once, and how often the first shard's are.
@@ -63,15 +64,15 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def _groups(texts: list[bytes]):
+def _groups(texts: pa.Array):
     """(first, last) of runs of texts of about GROUP bytes (a longer text is a run of its own)."""
     a = size = 0
-    for z, t in enumerate(texts):
-        if z > a and size + len(t) > GROUP:
+    for z, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if z > a and size + n > GROUP:
             yield a, z
             a, size = z, 0
-        size += len(t)
-    if texts:
+        size += n
+    if len(texts):
         yield a, len(texts)
 
 
@@ -85,11 +86,11 @@ class Numbers:
         self.columns: list[np.ndarray] = []
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        get = self.at.get
-        k = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(k < 0).tolist()
-        if unknown:
-            new = list(dict.fromkeys(words[i] for i in unknown))
+        """The numbers of words of which none comes twice."""
+        k = np.fromiter(map(self.at.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(k < 0)
+        if len(unknown):
+            new = [words[i] for i in unknown.tolist()]
             base = len(self.at)
             self.at.update(zip(new, range(base, base + len(new)), strict=True))
             values = self.describe(new)
@@ -99,7 +100,7 @@ class Numbers:
                 if base + len(v) > len(self.columns[i]):
                     self.columns[i] = np.concatenate([self.columns[i], np.zeros(base + 2 * len(v) + 1000, v.dtype)])
                 self.columns[i][base : base + len(v)] = v
-            k[unknown] = np.fromiter((get(words[i]) for i in unknown), np.int64, len(unknown))
+            k[unknown] = np.arange(base, base + len(new))
         return k
 
 
@@ -154,6 +155,12 @@ def subwords(path: str) -> Subwords:
     return _SUBWORDS[path]
 
 
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), then those from first[1] on, and so forth."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _forget() -> None:
     """Give up this worker's caches, for passes that need their memory for something else."""
     C.forget()
@@ -185,9 +192,15 @@ def _encode(tokenizer: str, end_id: int):
             return u + np.cumsum(size) - size, size, _hashes(new).view(np.int64)
 
         def flush():
-            k = np.flatnonzero(state["counts"])
+            nonlocal counted
+            n = state["counts"]
+            k = np.flatnonzero(n)
             if len(k):
-                yield rows(1, state["numbers"].columns[2][k], state["counts"][k])
+                first, size, key = state["numbers"].columns
+                for a in range(0, len(n), RUN):  # words' subwords stand by number
+                    c, s = n[a : a + RUN], size[a : a + RUN][: len(n) - a]
+                    counted += np.bincount(state["stream"][first[a] : first[a] + s.sum()], np.repeat(c, s), vocab).astype(np.int64)
+                yield rows(1, key[k], n[k])
             state["counts"] = np.zeros(0, np.int64)
 
         if not state:
@@ -196,30 +209,25 @@ def _encode(tokenizer: str, end_id: int):
         state["numbers"].describe = describe
         trained = 0
         for b in it:
-            ids, texts, codes = b.column("doc_id").to_pylist(), C.raw_texts(b), []
+            ids, texts, codes = b.column("doc_id").to_pylist(), C.strings(b), []
             held = np.fromiter(map(held_out, ids), bool, len(ids))
             for a, z in _groups(texts):
                 if len(state["numbers"].at) > WORDS:
                     yield from flush()
                     afresh()
-                split = [t.lower().split() for t in texts[a:z]]
-                n = np.fromiter(map(len, split), np.int64, z - a)
-                k = state["numbers"].of(list(itertools.chain.from_iterable(split)))
-                del split
-                if not len(k):
+                n, at, words = C.lower_words(texts.slice(a, z - a))
+                if not words:
                     codes += [end] * (z - a)
                     continue
+                k = state["numbers"].of(words)
                 first, size, _ = state["numbers"].columns
-                size = size.take(k)
-                ends = np.cumsum(size)
-                stream = state["stream"].take(np.repeat(first.take(k) - (ends - size), size) + np.arange(ends[-1]))
-                cuts = np.append(0, ends)[np.append(0, np.cumsum(n))].tolist()
+                first, size = first.take(k).take(at), size.take(k).take(at)
+                stream = state["stream"].take(spans(first, size))
+                cuts = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))].tolist()
                 codes += [stream[x:y].tobytes() + end for x, y in zip(cuts, cuts[1:], strict=False)]
-                trains = ~held[a:z]
-                counts = np.bincount(k[np.repeat(trains, n)], minlength=len(state["numbers"].at))
-                counts[: len(state["counts"])] += state["counts"]
-                state["counts"] = counts
-                counted += np.bincount(stream[np.repeat(trains, np.diff(cuts))], minlength=vocab)
+                if len(state["numbers"].at) > len(state["counts"]):
+                    state["counts"] = np.append(state["counts"], np.zeros(len(state["numbers"].at) - len(state["counts"]), np.int64))
+                state["counts"][k] += np.bincount(at[np.repeat(~held[a:z], n)], minlength=len(words))
             trained += int((~held).sum())
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column("doc_id"), b.column("text_hash"), pa.array(held), pa.array(codes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=CODES)
@@ -264,7 +272,9 @@ def _train(model, batch: int, passes: int, dtype: str):
             if held:
                 x, y, _ = t.model.windows(held)
                 t.learn(x, y, passes)
-                np.add.at(pairs, start.vocab.pairs(x, y), 1)
+                met = np.sort(start.vocab.pairs(x, y).astype(np.int32))
+                first = np.flatnonzero(np.diff(met, prepend=-1))
+                pairs[met[first]] += np.diff(first, append=len(met)).astype(np.int32)
             held, size = [], 0
 
         def close():
@@ -353,36 +363,24 @@ def _base(keys: np.ndarray, values: np.ndarray, end: float):
         from pyspark import TaskContext
 
         _forget()
-        of_word, row = {}, TaskContext.get().partitionId() << 36  # the head's words, as they are met
+        row = TaskContext.get().partitionId() << 36
         for b in it:
             out: list[list] = [[] for _ in range(6)]
-            texts = C.raw_texts(b)
+            texts = C.strings(b)
             for a, z in _groups(texts):
-                split = [t.lower().split() for t in texts[a:z]]
-                n = np.fromiter(map(len, split), np.int64, z - a)
-                words = list(itertools.chain.from_iterable(split))
-                del split
-                owner = np.repeat(np.arange(z - a), n)
-                v = np.array(list(map(of_word.get, words)), np.float64)  # nan for None
-                new = np.flatnonzero(np.isnan(v))
-                h = np.zeros(len(words), np.uint64)
-                h[new] = _hashes([words[i] for i in new.tolist()])
+                n, at, words = C.lower_words(texts.slice(a, z - a))
+                h, v = _hashes(words), np.full(len(words), np.nan)
                 if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h[new]), len(keys) - 1)
-                    met = keys[at] == h[new]
-                    v[new[met]] = values[at[met]]
-                    of_word.update(zip([words[i] for i in new[met].tolist()], values[at[met]].tolist(), strict=True))
-                del words
+                    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    v = np.where(keys[place] == h, values[place], np.nan)
+                owner, v = np.repeat(np.arange(z - a), n), v.take(at)
                 known = ~np.isnan(v)
                 head_n, head_sum = np.bincount(owner[known], minlength=z - a), np.bincount(owner[known], v[known], z - a)
-                owner, h = owner[~known], h[~known]
-                order = np.lexsort((h, owner))
-                owner, h = owner[order], h[order]
-                first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(h, prepend=h[:1]) != 0))
-                times = np.diff(first, append=len(h)).astype(np.int32)
-                for c, x in zip(out, (n + 1, head_n + (end >= 0), head_sum + max(end, 0.0), h[first].view(np.int64), np.bincount(owner[first], minlength=z - a), times), strict=True):
+                pair, times = np.unique(owner[~known] * max(1, len(words)) + at[~known], return_counts=True)
+                owner, tail = np.divmod(pair, max(1, len(words)))
+                for c, x in zip(out, (n + 1, head_n + (end >= 0), head_sum + max(end, 0.0), h[tail].view(np.int64), np.bincount(owner, minlength=z - a), times.astype(np.int32)), strict=True):
                     c.append(x)
-            if not texts:
+            if not len(texts):
                 continue
             n, head_n, head_sum, tail, sizes, times = map(np.concatenate, out)
             bounds = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))

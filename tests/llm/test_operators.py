@@ -5,14 +5,16 @@ import hashlib
 import math
 import re
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sumweave.llm import attention, components, decontaminate, licenses, lm_score, mixing, private_data, quality, registry, token_counts, url_filter
+from sumweave.llm import attention, common, components, decontaminate, licenses, lm_score, mixing, private_data, quality, registry, token_counts, url_filter
 from tests.llm.helpers import DOCS, docs_of, edited, empty_docs, odd_docs, prose, rng
 
 SF = "/root/testdata/sf0.001"
@@ -455,6 +457,42 @@ def test_lm_encode(spark, docs):
     assert collections.Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u2").tolist())) for r in codes) == want
 
 
+def test_lower_words():
+    texts = ["", " \t\n", "A b\x0b\x0cB a\r", " É é x\x1c\x85\u00a0\u3000y ", "b" * 40, "x"]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array([None, *texts, None], kind)], names=["text"])
+        n, at, words = common.lower_words(common.strings(batch).slice(1))
+        want = [t.encode().lower().split() for t in [*texts, ""]]
+        assert n.tolist() == list(map(len, want)) and [words[i] for i in at] == sum(want, [])
+        assert len(set(words)) == len(words)
+        n, at, words = common.lower_words(common.strings(batch).slice(0, 0))
+        assert len(n) == len(at) == len(words) == 0
+    assert lm_score.spans(np.array([5, 9, 2]), np.array([2, 0, 3])).tolist() == [5, 6, 2, 3, 4] and not len(lm_score.spans(np.zeros(0, int), np.zeros(0, int)))
+
+
+def test_lm_words_once(monkeypatch):
+    """Each distinct word of a run of texts is looked up and hashed once, not once for each place."""
+    texts = ["the cat and the dog and THE end"] * 50 + ["another cat"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(51), pa.int64()), pa.array(texts), pa.array(range(51), pa.int64())], names=["doc_id", "text", "text_hash"])
+    looked, hashed = [], []
+    of, hashes = lm_score.Numbers.of, lm_score._hashes
+    monkeypatch.setattr(lm_score.Numbers, "of", lambda self, words: looked.extend(words) or of(self, words))
+    monkeypatch.setattr(lm_score, "_hashes", lambda words: hashed.extend(words) or hashes(words))
+    monkeypatch.setattr(lm_score, "_STATES", {})
+    rows = [r for b in lm_score._encode(RANKS, 50256)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(looked) == [b"and", b"another", b"cat", b"dog", b"end", b"the"]
+    train = [t.lower().split() for d, t in enumerate(texts) if not lm_score.held_out(d)]
+    assert {r["key"]: r["n"] for r in rows if r["kind"] == 1} == {lm_score._long(int(hashes([w.encode()])[0])): n for w, n in collections.Counter(sum(train, [])).items()} | {lm_score._long(lm_score.END): len(train)}
+    subwords = collections.Counter(x for r in rows if r["kind"] == 0 and not r["held_out"] for x in np.frombuffer(r["ids"], "<u2").tolist())
+    assert {r["key"]: r["n"] for r in rows if r["kind"] == 2} == subwords
+    hashed.clear()
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    head = np.sort(hashes([b"the", b"and"]))
+    base = [r for b in lm_score._base(head, np.ones(2), 0.5)(iter([batch])) for r in b.to_pylist()]
+    assert len(hashed) == 6 and [r["n_tokens"] for r in base] == [9] * 50 + [3] and [r["head_n"] for r in base] == [6] * 50 + [1]
+    assert [sum(r["tail_n"]) for r in base] == [3] * 50 + [2] and base[0]["head_sum"] == 5.5
+
+
 def test_lm_order(spark, monkeypatch):
     """The same scores however the rows lie, with several shards, so copies are averaged."""
     monkeypatch.setattr(lm_score, "SHARD", 60_000)
